@@ -26,6 +26,8 @@ def canon(df: pd.DataFrame) -> list[tuple]:
     """Rows as sorted tuples of plain text, columns by name, floats at 6 digits."""
 
     def one(x):
+        if x is pd.NA:
+            return "∅"
         if x is None or (isinstance(x, float) and x != x) or x is pd.NaT:
             return "∅"
         if isinstance(x, bool) or type(x).__name__ == "bool_":
