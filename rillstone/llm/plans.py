@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .leaks import leaked
 from .percentiles import RANK_ERROR, answer_percentiles, merge_percentiles, partial_percentiles
 from .together import log_likelihood_ratio, pairs_together, with_counts
 from .tokens import encode_texts, read_ranks
@@ -69,7 +70,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text", _ranks())
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p2_found, p2_pairs, p8_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p2_found, p2_pairs, p8_ids, p9_found)}
 
 _COUNTS = """
 WITH r AS (SELECT DISTINCT userId AS u, movieId AS i FROM ratings WHERE userId IS NOT NULL AND movieId IS NOT NULL),
