@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .leaks import leaked
 from .percentiles import RANK_ERROR, answer_percentiles, merge_percentiles, partial_percentiles
+from .sentences import sentence_units, trained
 from .together import log_likelihood_ratio, pairs_together, with_counts
 from .tokens import encode_texts, read_ranks
 
@@ -74,7 +75,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p2_found, p2_pairs, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return sentence_units(docs, "doc_id", "text", trained(docs, "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p2_found, p2_pairs, p8_ids, p9_found, p10_found)}
 
 _COUNTS = """
 WITH r AS (SELECT DISTINCT userId AS u, movieId AS i FROM ratings WHERE userId IS NOT NULL AND movieId IS NOT NULL),
