@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .defects import defects, main_defect
 from .leaks import leaked
 from .percentiles import RANK_ERROR, answer_percentiles, merge_percentiles, partial_percentiles
 from .sentences import sentence_units, trained
@@ -63,6 +64,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("a").alias("movie_a"), F.col("b").alias("movie_b"))
 
 
+def p4_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect of every pair, with its posterior."""
+    return defects(table(spark, d, "qa_pairs"), "pair_id", "user_input", "reference", "reference_contexts")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_defect(p4_labels(spark, d))
+
+
 def _ranks(name: str = "byte_bpe_50k") -> dict[bytes, int]:
     return read_ranks(f"{TOKENIZERS}/{name}.tiktoken")
 
@@ -80,7 +90,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(docs, "doc_id", "text", trained(docs, "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p2_found, p2_pairs, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p2_found, p2_pairs, p4_found, p4_labels, p8_ids, p9_found, p10_found)}
 
 _COUNTS = """
 WITH r AS (SELECT DISTINCT userId AS u, movieId AS i FROM ratings WHERE userId IS NOT NULL AND movieId IS NOT NULL),
