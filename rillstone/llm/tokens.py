@@ -54,12 +54,15 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], buckets: int = 16_38
     adjacent pair of the lowest rank (the first of equal ones). The state keeps
     the rank of every adjacent pair, so a step looks up two pieces, not all.
     """
-    table = rank_map(ranks, buckets)
-    rank = lambda p: _rank(p, table, buckets)
     w = words.select("word", F.decode(F.encode("word", "UTF-8"), "ISO-8859-1").alias("_b"))
-    w = w.select("word", "_b", rank(F.col("_b")).alias("_whole"))
+    # the vocabulary stands in the plan once
+    return w.select("word", _let(rank_map(ranks, buckets), lambda table: _encoded(F.col("_b"), table, buckets)).alias("ids"))
+
+
+def _encoded(word: Column, table: Column, buckets: int) -> Column:
+    rank = lambda p: _rank(p, table, buckets)
     none = F.lit(_NONE)
-    start = F.transform(F.sequence(F.lit(1), F.length("_b")), lambda i: F.substring(F.col("_b"), i, F.lit(1)))
+    start = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
     pairs = lambda p: F.transform(p, lambda x, i: F.coalesce(rank(F.concat(x, F.get(p, i + 1))), none))
     state = _let(start, lambda p: F.struct(p.alias("p"), pairs(p).alias("r")))
 
@@ -82,9 +85,8 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], buckets: int = 16_38
         least = F.array_min(s["r"])
         return F.when(least == none, s).otherwise(_let(F.struct(F.array_position(s["r"], least).cast("int").alias("i")), at))
 
-    merged = F.aggregate(F.sequence(F.lit(2), F.length("_b")), state, step)["p"]
-    ids = F.when(F.col("_whole").isNotNull(), F.array("_whole")).otherwise(F.transform(merged, rank))
-    return w.select("word", ids.alias("ids"))
+    merged = F.aggregate(F.sequence(F.lit(2), F.length(word)), state, step)["p"]
+    return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(merged, rank)))
 
 
 def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int]) -> DataFrame:
