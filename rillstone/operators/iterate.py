@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,19 +179,18 @@ def viterbi_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], ob
     probability. beam: states kept per step. keep: last states that are told.
     A group is folded in one task, its rows in order.
     """
-    import pandas as pd
-
     number = {s: i for i, s in enumerate(states)}
     into: dict[int, list[tuple[int, float]]] = {}
     for (a, b), w in moves.items():
         into.setdefault(number[b], []).append((number[a], w))
 
     @F.pandas_udf("array<string>")
-    def decode(rows: pd.DataFrame) -> list:
-        rows = rows.sort_values([f"o{i}" for i in range(len(order))], kind="stable")
+    def decode(*columns: pd.Series) -> object:
+        rows = pd.concat(list(columns), axis=1, ignore_index=True)
+        rows = rows.sort_values(list(range(1, rows.shape[1])), kind="stable") if rows.shape[1] > 1 else rows
         score: dict[int, float] = {}
         back: list[dict[int, int]] = []
-        for n, o in enumerate(rows["obs"]):
+        for n, o in enumerate(rows[0]):
             if n == 0:
                 score = {number[s]: emit(s, o) for s in start}
                 back.append({})
@@ -214,7 +214,7 @@ def viterbi_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], ob
         path = path[::-1]
         return [states[i] for i in (path[-keep:] if keep else path)]
 
-    return df.groupBy(*group).agg(decode(F.struct(F.col(observed).alias("obs"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])).alias("path"))
+    return df.groupBy(*group).agg(decode(F.col(observed), *[F.col(o) for o in order]).alias("path"))
 
 
 def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

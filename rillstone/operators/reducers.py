@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -134,10 +135,6 @@ def accumulate(df: DataFrame, group: Sequence[str], cols: Sequence[str], acc: Ac
     and only the parts' states meet (as pickles); an ordered one needs all its
     rows in one place and is folded there.
     """
-    import pickle
-
-    columns = list(cols)
-
     def fold(rows):
         state = None
         for r in rows:
@@ -145,20 +142,19 @@ def accumulate(df: DataFrame, group: Sequence[str], cols: Sequence[str], acc: Ac
             state = x if state is None else acc.update(state, x)
         return state
 
-    g = [F.col(c) for c in group]
+    g, own = [F.col(c) for c in group], [F.col(c) for c in cols]
     if order:
 
         @F.pandas_udf(kind)
-        def ordered(rows: pd.DataFrame) -> object:
-            rows = rows.sort_values([f"o{i}" for i in range(len(order))], kind="stable")
-            state = fold(rows[columns].itertuples(index=False))
+        def ordered(*columns: pd.Series) -> object:
+            state = fold(_in_order(columns, len(own)))
             return acc.neutral() if state is None else acc.compute_result(state)
 
-        return df.groupBy(*g).agg(ordered(F.struct(*columns, *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])).alias(name))
+        return df.groupBy(*g).agg(ordered(*own, *[F.col(o) for o in order]).alias(name))
 
     @F.pandas_udf("binary")
-    def part(rows: pd.DataFrame) -> bytes:
-        return pickle.dumps(fold(rows.itertuples(index=False)))
+    def part(*columns: pd.Series) -> bytes:
+        return pickle.dumps(fold(zip(*columns, strict=True)))
 
     @F.pandas_udf(kind)
     def whole(states: pd.Series) -> object:
@@ -168,34 +164,41 @@ def accumulate(df: DataFrame, group: Sequence[str], cols: Sequence[str], acc: Ac
             state = x if state is None else acc.update(state, x)
         return acc.neutral() if state is None else acc.compute_result(state)
 
-    parts = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt))).groupBy(*g, "_salt").agg(part(F.struct(*columns)).alias("_state"))
+    parts = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt))).groupBy(*g, "_salt").agg(part(*own).alias("_state"))
     return parts.groupBy(*g).agg(whole("_state").alias(name))
 
 
+def _in_order(columns: Sequence[pd.Series], own: int) -> list[tuple]:
+    """Rows of the first own columns, by the other columns."""
+    rows = pd.concat(list(columns), axis=1, ignore_index=True)
+    rows = rows.sort_values(list(range(own, rows.shape[1])), kind="stable") if rows.shape[1] > own else rows
+    return list(rows.iloc[:, :own].itertuples(index=False, name=None))
+
+
 def stateful_single(df: DataFrame, group: Sequence[str], cols: Sequence[str], step: Callable, kind: str, name: str, order: Sequence[str]) -> DataFrame:
     """step(state, row) over the rows of a group in order, from None."""
 
     @F.pandas_udf(kind)
-    def fold(rows: pd.DataFrame) -> object:
-        rows = rows.sort_values([f"o{i}" for i in range(len(order))], kind="stable")
+    def fold(*columns: pd.Series) -> object:
         state = None
-        for r in rows[list(cols)].itertuples(index=False):
-            state = step(state, tuple(r))
+        for r in _in_order(columns, len(cols)):
+            state = step(state, r)
         return state
 
-    return df.groupBy(*group).agg(fold(F.struct(*cols, *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])).alias(name))
+    return df.groupBy(*group).agg(fold(*[F.col(c) for c in [*cols, *order]]).alias(name))
 
 
 def stateful_many(df: DataFrame, group: Sequence[str], cols: Sequence[str], step: Callable, kind: str, name: str, time: str, diff: str | None = None) -> DataFrame:
     """step(state, [(row, count), ...]) over the batches of a group by time, from None."""
 
     @F.pandas_udf(kind)
-    def fold(rows: pd.DataFrame) -> object:
-        state = None
-        for _, batch in rows.sort_values("_t", kind="stable").groupby("_t"):
-            counts = batch["_d"] if diff else [1] * len(batch)
-            state = step(state, [(tuple(r), int(c)) for r, c in zip(batch[list(cols)].itertuples(index=False), counts, strict=True)])
+    def fold(*columns: pd.Series) -> object:
+        state, own = None, len(cols)
+        rows = pd.concat(list(columns), axis=1, ignore_index=True)
+        for _, batch in rows.sort_values(own, kind="stable").groupby(own):
+            counts = batch[own + 1] if diff else [1] * len(batch)
+            values = batch.iloc[:, :own].itertuples(index=False, name=None)
+            state = step(state, [(r, int(c)) for r, c in zip(values, counts, strict=True)])
         return state
 
-    extra = [F.col(time).alias("_t"), *([F.col(diff).alias("_d")] if diff else [])]
-    return df.groupBy(*group).agg(fold(F.struct(*cols, *extra)).alias(name))
+    return df.groupBy(*group).agg(fold(*[F.col(c) for c in [*cols, time, *([diff] if diff else [])]]).alias(name))

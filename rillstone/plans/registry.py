@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import telemetry
+from . import analytic, relational, telemetry, timed
 
-QUERIES = {**telemetry.QUERIES}
-ORACLES = {**telemetry.ORACLES}
+_PARTS = (relational, timed, analytic, telemetry)
+QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _PARTS for k, v in m.ORACLES.items()}
