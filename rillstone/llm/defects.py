@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 DEFECTS = ("empty", "truncated", "refusal", "copies_question", "other_language")
 #: Posterior above which a pair has a defect, chosen on pairs that were broken on purpose (tests).
 CUTOFFS = {"empty": 0.5, "truncated": 0.3, "refusal": 0.5, "copies_question": 0.5, "other_language": 0.5}
@@ -215,7 +217,8 @@ def pair_votes(pairs: DataFrame, pair_id: str, question: str, answer: str, conte
 def defects(pairs: DataFrame, pair_id: str, question: str, answer: str, contexts: str, cutoffs: dict[str, float] | None = None) -> DataFrame:
     """``pair_id``, ``defect``, ``posterior``: every defect of every pair whose posterior exceeds its cutoff.
 
-    The labelling functions vote row by row. The label model needs only how
+    The labelling functions vote row by row, once; their votes are written to the
+    shared folder, as they are counted and then looked up. The label model needs only how
     often each pattern of votes occurs, at most 3 to the power of a defect's
     functions (243), whatever the number of pairs: those counts, of all pairs,
     are what the driver gets, and the posteriors by pattern go back as a lookup.
@@ -226,7 +229,7 @@ def defects(pairs: DataFrame, pair_id: str, question: str, answer: str, contexts
     empty table; other columns are dropped and may have any name.
     """
     cutoffs = CUTOFFS | (cutoffs or {})
-    cast = pair_votes(pairs, pair_id, question, answer, contexts)
+    cast = written(pair_votes(pairs, pair_id, question, answer, contexts))
     at, own = 0, {}
     for d, fs in FUNCTIONS.items():
         own[d] = F.slice("votes", at + 1, len(fs))
