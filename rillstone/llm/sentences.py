@@ -18,7 +18,7 @@ _CLOSE = "»”\"'’）」』】》〉)]}›"
 _OPEN = "«“\"'‘（「『【《〈([{„‚‹¿¡"
 _ZERO = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 #: abbreviations that never end a sentence; those that don't before a number; those that may
-_NEVER = frozenset("dr mr mrs ms prof st jr sr sra srta dra vs cf approx ca bzw vgl inkl hr fr ex ej env mm mme mlle им ул см стр д-р डॉ श्री e.g i.e z.b d.h u.a p.ex p.ej т.е т.д viz al gen col rev hon ing lic".split())
+_NEVER = frozenset("dr mr mrs prof st jr sr sra srta dra vs cf approx ca bzw vgl inkl hr fr ex ej env mm mme mlle им ул см стр д-р डॉ श्री e.g i.e z.b d.h u.a p.ex p.ej т.е т.д viz al gen col rev hon ing lic".split())
 _NUMBERED = frozenset("no nr nos fig figs sec eq ch art abb bd vol pp num núm nº рис гл табл п p s ver v".split())
 _MAY = {"etc": "etc", "usw": "etc", "inc": "firm", "ltd": "firm", "co": "firm", "corp": "firm", "a.m": "clock", "p.m": "clock"}
 _MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember januari jänner".split())
@@ -151,7 +151,7 @@ def places(t: str, start: int, end: int) -> list[Place]:
         if kind == "stop":
             w = _TOKEN_END.search(t[max(start, s - 30) : s])
             word = (w[0] if w else "").lstrip(_OPEN + "*_").lower()
-            if word in _NEVER:
+            if word in _NEVER or (word == "ms" and w[0].endswith("Ms")):  # the title, not milliseconds
                 before = "never"
             elif word in _NUMBERED:
                 before = "numbered"
