@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.expr import cosine_distance, squared_distance
 
@@ -37,7 +38,7 @@ def knn(data: DataFrame, data_id: str, data_vector: str, queries: DataFrame, que
     d = data.select(F.col(data_id).alias("d"), F.col(data_vector).cast("array<double>").alias("v")).where("d is not null and v is not null")
     found: DataFrame | None = None
     for ids, m in _query_blocks(queries, query_id, query_vector, block):
-        part = d.mapInArrow(_nearest(ids, m, k, metric, kinds["q"]), f"q {kinds['q']}, d {kinds['d']}, distance double")
+        part = d.mapInArrow(_nearest(ids, m, k, metric, to_arrow_type(queries.schema[query_id].dataType)), f"q {kinds['q']}, d {kinds['d']}, distance double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return data.sparkSession.createDataFrame([], f"query_id {kinds['q']}, data_id {kinds['d']}, distance double, rank int")
@@ -54,8 +55,8 @@ def _distances(m: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum((m**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * dots, 0)
 
 
-def _nearest(ids: list, m: np.ndarray, k: int, metric: str, kind: str):
-    arrow_ids = pa.array(ids)
+def _nearest(ids: list, m: np.ndarray, k: int, metric: str, kind: pa.DataType):
+    arrow_ids = pa.array(ids, kind)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep: pa.Table | None = None

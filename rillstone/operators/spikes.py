@@ -110,7 +110,7 @@ def judge(seg: np.ndarray, seeds: np.ndarray, t: np.ndarray, v: np.ndarray, kind
     ok = np.where(limit, np.nan, v)
     # totals: a reading that the next ones fall below is no mark to be held against them
     ahead = np.full((3, n), np.nan)
-    for j in range(3):
+    for j in range(min(3, n - 1)):
         ahead[j, : n - j - 1] = np.where(seg[j + 1 :] == seg[: n - j - 1], ok[j + 1 :], np.nan)
     with np.errstate(invalid="ignore"):
         jutting = (ahead < ok).sum(axis=0) >= 2

@@ -18,7 +18,7 @@ WIDE_TYPES = {"operator.insertions": "bigint", "operator.deletions": "bigint"}
 
 def metrics_in_runs(spark: SparkSession, d: str) -> DataFrame:
     """metrics with plain names, without the rows outside the time of their run. A run that isn't listed has no bounds."""
-    plain = F.translate(F.lower(F.trim("name")), "_-", "..")
+    plain = F.translate(F.lower(F.btrim(F.col("name"), F.lit(" \t\r\n"))), "_-", "..")
     m = table(spark, d, "metrics").withColumn("name", plain)
     runs = table(spark, d, "resources").select("run_id", F.unix_micros("started_at").alias("_from"), F.unix_micros("finished_at").alias("_to"))
     us = F.col("timestamp") * 1000

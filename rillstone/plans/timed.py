@@ -174,7 +174,7 @@ def _feed(spark, d):
 _FEED = "WITH f AS (SELECT DISTINCT k, v, time, diff FROM change_feed) "
 
 
-@query(_FEED + "SELECT k, v, sum(diff) AS _diff FROM f GROUP BY k, v HAVING sum(diff) <> 0")
+@query(_FEED + "SELECT k, v, sum(diff)::BIGINT AS _diff FROM f GROUP BY k, v HAVING sum(diff) <> 0")
 def consolidate_changes(spark, d):
     return C.consolidate(_feed(spark, d))
 

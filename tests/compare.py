@@ -50,6 +50,11 @@ def canon(df: pd.DataFrame) -> list[tuple]:
 def differs(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str:
     if sorted(spark_df.columns) != sorted(sql_df.columns):
         return f"columns {sorted(spark_df.columns)} and {sorted(sql_df.columns)}"
+    group = {"i": "whole", "u": "whole", "f": "float", "b": "truth", "M": "time"}
+    for c in spark_df.columns:
+        x, y = group.get(spark_df[c].dtype.kind, "other"), group.get(sql_df[c].dtype.kind, "other")
+        if x != y and len(spark_df) and len(sql_df) and not spark_df[c].isna().any():
+            return f"column {c} is {spark_df[c].dtype} and {sql_df[c].dtype}"
     a, b = canon(spark_df), canon(sql_df)
     if a == b:
         return ""
