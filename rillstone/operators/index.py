@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.expr import cosine_distance, squared_distance
+from ..session import spread
 
 
 def _query_blocks(queries: DataFrame, query_id: str, vector: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
@@ -35,7 +36,7 @@ def knn(data: DataFrame, data_id: str, data_vector: str, queries: DataFrame, que
     Ties go to the smaller id. Null vectors are skipped; metric is l2sq or cos.
     """
     kinds = {"q": queries.schema[query_id].dataType.simpleString(), "d": data.schema[data_id].dataType.simpleString()}
-    d = data.select(F.col(data_id).alias("d"), F.col(data_vector).cast("array<double>").alias("v")).where("d is not null and v is not null")
+    d = spread(data.select(F.col(data_id).alias("d"), F.col(data_vector).cast("array<double>").alias("v")).where("d is not null and v is not null"))
     found: DataFrame | None = None
     for ids, m in _query_blocks(queries, query_id, query_vector, block):
         part = d.mapInArrow(_nearest(ids, m, k, metric, to_arrow_type(queries.schema[query_id].dataType)), f"q {kinds['q']}, d {kinds['d']}, distance double")
@@ -79,9 +80,10 @@ def _nearest(ids: list, m: np.ndarray, k: int, metric: str, kind: pa.DataType):
     return over
 
 
-def _trim(t: pa.Table, k: int) -> pa.Table:
-    t = t.sort_by([("q", "ascending"), ("distance", "ascending"), ("d", "ascending")])
-    q = t["q"].to_numpy(zero_copy_only=False)
+def _trim(t: pa.Table, k: int, by: str = "q") -> pa.Table:
+    """The k rows of least distance of every query, the smaller id of ties."""
+    t = t.sort_by([(by, "ascending"), ("distance", "ascending"), ("d", "ascending")])
+    q = t[by].to_numpy(zero_copy_only=False)
     first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
     place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
     return t.filter(pa.array(place < k))
@@ -172,25 +174,77 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int = 3, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``query_id``, ``doc_id``, ``score``, ``rank``: the k best documents of every query by BM25.
+def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int = 3, k1: float = 1.2, b: float = 0.75, block: int = 500) -> DataFrame:
+    """``query_id``, ``doc_id``, ``score``, ``rank``: the k best documents of every query by BM25. Ties go to the smaller id.
 
-    Postings are counted per document before anything else; only words that a
-    query has are joined. Ties go to the smaller id.
+    The query set is held against all documents in blocks of ``block`` queries.
+    One pass counts in how many documents the block's words occur (only those
+    words are shuffled), a second one scores: a task adds up each document's
+    words over the queries that have them and keeps k candidates per query, so
+    what is shuffled is k rows per query and task, not a row per query, document
+    and shared word.
     """
-    tf = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
-    tf = tf.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("doc_id", "len", "word").agg(F.count(F.lit(1)).alias("tf"))
-    stats = docs.select(F.size(words(F.col(text))).alias("n")).where("n >= 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(words(F.col(query))).alias("word")).distinct()
-    # words that a query has, before df: the shuffle carries no others
-    hit = tf.join(terms.select("word").distinct(), "word", "left_semi")
-    df_ = hit.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    x = hit.join(df_, "word").join(terms, "word").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    s = x.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    kinds = {"q": queries.schema[query_id].dataType, "d": docs.schema[doc_id].dataType}
+    names = {x: t.simpleString() for x, t in kinds.items()}
+    d = docs.select(F.col(doc_id).alias("d"), words(F.col(text)).alias("w")).where("w is not null")
+    q = queries.select(F.col(query_id).alias("q"), F.array_distinct(words(F.col(query))).alias("w")).where("q is not null and size(w) > 0")
+    n = q.count()
+    parts = 1 if n <= block else 2 * -(-n // block)
+    count, mean = d.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
+    dealt = spread(d)
+    found: DataFrame | None = None
+    for p in range(parts if count else 0):
+        own = q if parts == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)
+        rows = own.collect()
+        if not rows:
+            continue
+        terms = docs.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rows for t in r["w"]})], "t string")
+        each = d.select(F.explode(F.array_distinct("w")).alias("t"))
+        held = {r["t"]: r["n"] for r in each.join(F.broadcast(terms), "t").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+        at: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for t in r["w"]:
+                if t in held:
+                    at.setdefault(t, []).append(i)
+        posting = {t: (np.array(i), float(np.log(1 + (count - held[t] + 0.5) / (held[t] + 0.5)))) for t, i in at.items()}
+        ids = pa.array([r["q"] for r in rows], to_arrow_type(kinds["q"]))
+        part = dealt.mapInArrow(_scored(ids, posting, float(mean), k, k1, b), f"q {names['q']}, d {names['d']}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"query_id {names['q']}, doc_id {names['d']}, score double, rank int")
+    w = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "d")
+    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.select(F.col("q").alias("query_id"), F.col("d").alias("doc_id"), "score", "rank")
+
+
+def _scored(ids: pa.Array, posting: dict[str, tuple[np.ndarray, float]], mean: float, k: int, k1: float, b: float):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep: pa.Table | None = None
+        for batch in batches:
+            total = np.zeros((batch.num_rows, len(ids)))
+            for i, ws in enumerate(batch.column("w").to_pylist()):
+                tf: dict[str, int] = {}
+                for t in ws:
+                    if t in posting:
+                        tf[t] = tf.get(t, 0) + 1
+                norm = k1 * (1 - b + b * len(ws) / mean)
+                row = total[i]
+                for t, n in tf.items():
+                    at, idf = posting[t]
+                    row[at] += idf * n * (k1 + 1) / (n + norm)
+            far = -np.round(total.T, 9)
+            n = min(k, batch.num_rows)
+            if not n:
+                continue
+            # ties at the edge must all stay, or the smaller id could be lost
+            edge = np.partition(far, n - 1, axis=1)[:, n - 1]
+            q, r = np.nonzero((far <= edge[:, None]) & (far < 0))
+            t = pa.table({"q": ids.take(pa.array(q)), "d": batch.column("d").take(pa.array(r)), "score": total[r, q], "distance": far[q, r], "n": q})
+            keep = _trim(t if keep is None else pa.concat_tables([keep, t]), k, "n")
+        if keep is not None:
+            yield from keep.select(["q", "d", "score"]).to_batches()
+
+    return over
 
 
 def rank_fusion(*ranked: DataFrame, k: int = 3, constant: float = 60) -> DataFrame:
