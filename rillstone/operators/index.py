@@ -186,12 +186,11 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     """
     kinds = {"q": queries.schema[query_id].dataType, "d": docs.schema[doc_id].dataType}
     names = {x: t.simpleString() for x, t in kinds.items()}
-    d = docs.select(F.col(doc_id).alias("d"), words(F.col(text)).alias("w")).where("w is not null")
+    d = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null")).select("d", words(F.col("t")).alias("w"))
     q = queries.select(F.col(query_id).alias("q"), F.array_distinct(words(F.col(query))).alias("w")).where("q is not null and size(w) > 0")
     n = q.count()
     parts = 1 if n <= block else 2 * -(-n // block)
     count, mean = d.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
-    dealt = spread(d)
     found: DataFrame | None = None
     for p in range(parts if count else 0):
         own = q if parts == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)
@@ -208,7 +207,7 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
                     at.setdefault(t, []).append(i)
         posting = {t: (np.array(i), float(np.log(1 + (count - held[t] + 0.5) / (held[t] + 0.5)))) for t, i in at.items()}
         ids = pa.array([r["q"] for r in rows], to_arrow_type(kinds["q"]))
-        part = dealt.mapInArrow(_scored(ids, posting, float(mean), k, k1, b), f"q {names['q']}, d {names['d']}, score double")
+        part = d.mapInArrow(_scored(ids, posting, float(mean), k, k1, b), f"q {names['q']}, d {names['d']}, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"query_id {names['q']}, doc_id {names['d']}, score double, rank int")
