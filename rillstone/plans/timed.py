@@ -259,3 +259,37 @@ def stream_upserts(spark, d):
 def stream_deduplicated(spark, d):
     s = _stream(spark, d)
     return R.to_memory(R.deduplicated(s.select("user_id"), ["user_id"]), f"d_{uuid.uuid4().hex}")
+
+
+_BATCHED = """WITH b AS (SELECT event_id, epoch_us(ts) AS t, event_id // 500 AS batch FROM events), m AS (SELECT batch, max(t) AS m FROM b GROUP BY batch),
+c AS (SELECT batch, max(m) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS now FROM m), k AS (SELECT *, t // 3600000000 * 3600000000 AS w FROM b JOIN c USING (batch)) """
+
+
+def _batched(spark, d):
+    return events(spark, d).select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.floor(F.col("event_id") / 500).alias("_time"))
+
+
+@query(_BATCHED + "SELECT w AS window_start, w + 3600000000 AS window_end, count(*) AS n FROM k WHERE now IS NULL OR now < w + 3600000000 + 600000000 GROUP BY w")
+def window_cutoff(spark, d):
+    return C.windowby_behaved(_batched(spark, d), "t", W.tumbling(H), {"n": F.count(F.lit(1))}, W.Behavior(cutoff=600_000_000))
+
+
+@query(_BATCHED + "SELECT w AS window_start, w + 3600000000 AS window_end, count(*) AS n FROM k WHERE (now IS NULL OR now < w + 3600000000 + 86400000000) AND (SELECT max(t) FROM b) < w + 3600000000 + 86400000000 GROUP BY w")
+def window_forgetting(spark, d):
+    return C.windowby_behaved(_batched(spark, d), "t", W.tumbling(H), {"n": F.count(F.lit(1))}, W.Behavior(cutoff=24 * H, keep_results=False))
+
+
+@query(_BATCHED + """, o AS (SELECT batch, max(m) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) AS clock FROM m)
+SELECT w AS window_start, w + 3600000000 AS window_end, count(*) AS n, min((SELECT min(o.batch) FROM o WHERE o.batch >= k.batch AND o.clock >= k.w + 3600000000)) AS out_batch FROM k WHERE now IS NULL OR now < w + 3600000000 GROUP BY w""")
+def window_exactly_once(spark, d):
+    w = W.tumbling(H)
+    return C.windowby_behaved(_batched(spark, d), "t", w, {"n": F.count(F.lit(1))}, W.exactly_once(w)).withColumnRenamed("_out", "out_batch")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_replayed_batches(spark, d):
+    """The events of four batches replayed one by one."""
+    from ..streaming.demo import replay_batches
+
+    e = events(spark, d).select("event_type", F.floor(F.pmod(F.col("event_id"), F.lit(4))).alias("_time"))
+    return R.to_memory(replay_batches(e).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"b_{uuid.uuid4().hex}", "complete")

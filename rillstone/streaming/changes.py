@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.temporal import END, START, Behavior, Sliding, assign_windows, interval_join_rows
+
 TIME, DIFF = "_time", "_diff"
 
 
@@ -73,15 +75,21 @@ def snapshots(changes: DataFrame) -> DataFrame:
     return j.select(*cols, F.col("at").alias(TIME))
 
 
-def _clock(df: DataFrame, time: str, instance: Sequence[str]) -> Column:
-    """Greatest event time of earlier batches of the instance; null in its first batch."""
-    w = Window.partitionBy(*instance).orderBy(TIME).rangeBetween(Window.unboundedPreceding, -1)
-    return F.max(time).over(w)
+def _with_clock(df: DataFrame, time: str, instance: Sequence[str]) -> DataFrame:
+    """df with ``_now``: the greatest event time of earlier batches of the instance; null in its first batch.
+
+    The clock is one row per instance and batch, found before any window, and joined back.
+    """
+    keys = [*instance, TIME]
+    clock = df.groupBy(*keys).agg(F.max(time).alias("_m"))
+    w = Window.partitionBy(*instance).orderBy(TIME).rowsBetween(Window.unboundedPreceding, -1)
+    clock = clock.select(F.struct(*keys).alias("_ck"), F.max("_m").over(w).alias("_now"))
+    return df.withColumn("_ck", F.struct(*keys)).join(clock, "_ck").drop("_ck")
 
 
 def ignore_late(df: DataFrame, threshold: Column, time: str, instance: Sequence[str] = ()) -> DataFrame:
     """Rows that are not late: the clock (of earlier batches) has not reached their threshold."""
-    return df.withColumn("_now", _clock(df, time, instance)).where(F.col("_now").isNull() | (F.col("_now") < threshold)).drop("_now")
+    return _with_clock(df, time, instance).where(F.col("_now").isNull() | (F.col("_now") < threshold)).drop("_now")
 
 
 def buffered(df: DataFrame, threshold: Column, time: str, instance: Sequence[str] = ()) -> DataFrame:
@@ -99,8 +107,12 @@ def buffered(df: DataFrame, threshold: Column, time: str, instance: Sequence[str
 
 def forgotten(df: DataFrame, threshold: Column, time: str, instance: Sequence[str] = ()) -> DataFrame:
     """Rows that are left at the end: the clock after the last batch has not reached their threshold."""
-    w = Window.partitionBy(*instance)
-    return df.withColumn("_now", F.max(time).over(w)).where(F.col("_now") < threshold).drop("_now")
+    if instance:
+        clock = df.groupBy(F.struct(*instance).alias("_ck")).agg(F.max(time).alias("_now"))
+        j = df.withColumn("_ck", F.struct(*instance)).join(clock, "_ck").drop("_ck")
+    else:
+        j = df.crossJoin(F.broadcast(df.agg(F.max(time).alias("_now"))))
+    return j.where(F.col("_now") < threshold).drop("_now")
 
 
 def deduplicate(df: DataFrame, instance: Sequence[str], value: str, order: Sequence[str], acceptor: Callable[[object, object], bool] | None = None) -> DataFrame:
@@ -156,3 +168,38 @@ def asof_now_join(queries: DataFrame, changes: DataFrame, on: Sequence[str], que
         cond = cond & F.col(f"q.{c}").eqNullSafe(F.col(f"s.{c}"))
     j = queries.alias("q").join(runs.alias("s"), cond, how)
     return j.select(*[F.col(f"q.{c}").alias(c) for c in [*query_cols]], *[F.col(f"s.{c}").alias(c) for c in state_cols])
+
+
+def windowby_behaved(df: DataFrame, time: str, window: Sliding, aggs: Mapping[str, Column], behavior: Behavior, instance: Sequence[str] = ()) -> DataFrame:
+    """Windows of rows that come in batches (``_time``), under a behaviour: the result after the last batch.
+
+    A row is ignored in a window whose end + cutoff the clock (the greatest event
+    time of earlier batches, per instance) has reached. Results come out when
+    the clock reaches the window's start + delay, or at the end of input;
+    ``_out`` is that batch. Without keep_results, windows that the clock has
+    passed in the end are gone.
+    """
+    rows = assign_windows(df, time, window)
+    if behavior.cutoff is not None:
+        rows = ignore_late(rows, _plus(END, behavior.cutoff), time, instance)
+    extra = {}
+    if behavior.delay is not None:
+        rows = buffered(rows, _plus(START, behavior.delay), time, instance)
+        extra = {"_out": F.min("_out")}
+    out = rows.groupBy(*instance, START, END).agg(*[c.alias(n) for n, c in {**aggs, **extra}.items()])
+    if behavior.cutoff is not None and not behavior.keep_results:
+        clock = df.groupBy(*instance).agg(F.max(time).alias("_now")) if instance else df.agg(F.max(time).alias("_now"))
+        j = out.join(clock, list(instance)) if instance else out.crossJoin(F.broadcast(clock))
+        out = j.where(F.col("_now") < _plus(END, behavior.cutoff)).drop("_now")
+    return out
+
+
+def _plus(col: str, by: float) -> Column:
+    return F.col(col) + F.lit(int(by) if float(by).is_integer() else by)
+
+
+def interval_join_behaved(left: DataFrame, right: DataFrame, left_time: str, right_time: str, lower: float, upper: float, cutoff: float, left_cols: Mapping[str, str], right_cols: Mapping[str, str], on: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """interval_join_rows without the rows that come too late: their side's clock has reached their time + cutoff."""
+    l = ignore_late(left, _plus(left_time, cutoff), left_time)
+    r = ignore_late(right, _plus(right_time, cutoff), right_time)
+    return interval_join_rows(l, r, left_time, right_time, lower, upper, left_cols, right_cols, on, how)
