@@ -121,14 +121,15 @@ def votes(question: str | None, answer: str | None, contexts: list[str | None] |
 
     size, ends = _length(a), bool(_END.search(a))
     whole = any(a == c or a.rstrip(".。!?！？") == c.rstrip(".。!?！？") for c in ctx)
-    part = size >= 2.5 and not whole and any(c.startswith(a) and len(c) > len(a) + 1 for c in ctx)
+    # a context goes on where the answer stops, and not with another sentence
+    part = size >= 2.5 and not whole and any(c.startswith(a) and len(c) > len(a) + 1 and not (ends and (c[len(a)].isspace() or a[-1] in "。！？")) for c in ctx)
     lists = len(re.findall(r"\b(?:first|second|third|fourth|fifth|finally|zuerst|zweitens|drittens|premièrement|deuxièmement|troisièmement|primero|segundo|tercero|во-первых|во-вторых|в-третьих)\b|第[一二三四五]|[;；]|^\s*[-*•\d]", a, re.I))
     complete_list = lists >= 3 and not _OPEN_END.search(a) and bool(re.search(r"(?:third|drittens|troisièmement|tercero|в-третьих|第三|last|finally)[,，]?(?:\s*\S+){4}", a, re.I))
     qu, au = _units(q), _units(a)
     qs, new = set(qu), [u for u in au if u not in set(qu) and u not in _LEAD]
     covered = len(qs & set(au)) / max(1, len(qs))
     copied = bool(qu) and covered >= 0.8 and not new
-    vote("cut_no_end", not ends and size >= 4 and not copied, ends or size <= 3 or copied)
+    vote("cut_no_end", not ends and size >= 4 and not copied, (ends or size <= 3 or copied) and not part)
     vote("cut_part_of_context", part, whole)
     vote("cut_open_end", bool(_OPEN_END.search(a)) and size >= 2, ends)
     vote("cut_not_a_list", False, complete_list or whole)
