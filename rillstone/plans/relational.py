@@ -327,10 +327,10 @@ def concat_reindexed(spark, d):
     return table.concat_reindex(n, r).select("name")
 
 
-@query("SELECT vec_id, (i - 1)::BIGINT AS i, round(embedding[i]::DOUBLE, 5) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)")
+@query("SELECT vec_id, (i - 1)::BIGINT AS i, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)")
 def flatten_arrays(spark, d):
     e = T(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))).alias("e"))
-    return table.flatten(e, "e").select("vec_id", F.col("e.i").cast("bigint").alias("i"), F.round(F.col("e.x").cast("double"), 5).alias("x"))
+    return table.flatten(e, "e").select("vec_id", F.col("e.i").cast("bigint").alias("i"), F.col("e.x").cast("double").alias("x"))
 
 
 @query("SELECT n_nationkey, unnest(string_split(n_name, '')) AS n_name FROM nation")
