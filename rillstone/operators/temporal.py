@@ -263,11 +263,10 @@ def asof_join(
     if direction == "nearest":
         rank = F.col("_side")
     order = [F.col("_t"), rank, F.col("_lt"), F.col("_rt")]
-    w = Window.partitionBy(*parts).orderBy(*order)
-    past, future = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    past, future = _before(parts, order), _after(parts, order)
     seen = {
         "_lb": F.last("_l", ignorenulls=True).over(past), "_rb": F.last("_r", ignorenulls=True).over(past),
-        "_lf": F.first("_l", ignorenulls=True).over(future), "_rf": F.first("_r", ignorenulls=True).over(future),
+        "_lf": F.last("_l", ignorenulls=True).over(future), "_rf": F.last("_r", ignorenulls=True).over(future),
     }
     need = {"backward": ("_lb", "_rb"), "forward": ("_lf", "_rf"), "nearest": tuple(seen)}[direction]
     x = both.withColumns({k: seen[k] for k in need})
@@ -289,6 +288,16 @@ def asof_join(
     return x.select(*[fill(F.col(f"_ml.{n}"), n).alias(n) for n in left_cols], *[fill(F.col(f"_mr.{n}"), n).alias(n) for n in right_cols])
 
 
+def _before(parts: Sequence, order: Sequence[Column]):
+    """The rows before, in order."""
+    return Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _after(parts: Sequence, order: Sequence[Column]):
+    """The rows after, nearest one last: the order turned round, since a frame to the end is read anew for every row."""
+    return Window.partitionBy(*parts).orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def _carried(both: DataFrame, x: DataFrame, kn: Sequence[str], need: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Per key and shard the last (first) row of each side of the shards before (after), put where a shard saw none."""
     at = F.struct(*order)
@@ -296,12 +305,11 @@ def _carried(both: DataFrame, x: DataFrame, kn: Sequence[str], need: Sequence[st
         F.max_by("_l", F.when(F.col("_l").isNotNull(), at)).alias("el"), F.max_by("_r", F.when(F.col("_r").isNotNull(), at)).alias("er"),
         F.min_by("_l", F.when(F.col("_l").isNotNull(), at)).alias("bl"), F.min_by("_r", F.when(F.col("_r").isNotNull(), at)).alias("br"),
     )
-    w = Window.partitionBy(*kn).orderBy("_s")
-    past, future = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    past, future = _before(kn, [F.col("_s")]), _after(kn, [F.col("_s")])
     far = ends.select(
         *[F.col(k).alias(f"_f{k}") for k in kn], F.col("_s").alias("_fs"),
         F.last("el", True).over(past).alias("f_lb"), F.last("er", True).over(past).alias("f_rb"),
-        F.first("bl", True).over(future).alias("f_lf"), F.first("br", True).over(future).alias("f_rf"),
+        F.last("bl", True).over(future).alias("f_lf"), F.last("br", True).over(future).alias("f_rf"),
     )
     cond = F.col("_s") == F.col("_fs")
     for k in kn:
@@ -319,12 +327,12 @@ def diff(df: DataFrame, time: str, values: Sequence[str], instance: Sequence[str
 def interpolate(df: DataFrame, time: str, values: Sequence[str], instance: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
     """Null values filled on the line between the known ones before and after; at the ends by the nearest."""
     t, _ = _number(df, time)
-    w = Window.partitionBy(*instance).orderBy(F.col(time), *[F.col(c) for c in tie])
-    past, future = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    order = [F.col(time), *[F.col(c) for c in tie]]
+    past, future = _before(instance, order), _after(instance, order)
     out = {}
     for v in values:
         known = F.when(F.col(v).isNotNull(), F.struct(t.alias("t"), F.col(v).cast("double").alias("v")))
-        a, b = F.last(known, True).over(past), F.first(known, True).over(future)
+        a, b = F.last(known, True).over(past), F.last(known, True).over(future)
         line = a["v"] + F.try_divide((t - a["t"]) * (b["v"] - a["v"]), b["t"] - a["t"])
         out[v] = F.when(F.col(v).isNotNull(), F.col(v).cast("double")).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(F.coalesce(line, a["v"]))
     return df.withColumns(out)
