@@ -206,32 +206,32 @@ def star_join(spark, d):
     return j.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-def _halves(spark, d):
-    o = T(spark, d, "orders")
-    a = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("c"))
-    b = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("k2"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("c2"))
+def _by_customer(spark, d):
+    """Finished orders and accounts in credit per customer; what isn't either is counted under null."""
+    a = T(spark, d, "orders").groupBy(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    b = T(spark, d, "customer").groupBy(F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("k2")).agg(F.count(F.lit(1)).alias("n2"))
     return a, b
 
 
-_HALVES = "WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS c FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT o_orderkey AS k2, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS c2 FROM orders WHERE o_orderkey % 5 = 0) "
+_BY_CUSTOMER = "WITH a AS (SELECT CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS k, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey END AS k2, count(*) AS n2 FROM customer GROUP BY 1) "
 
 
-@query(_HALVES + "SELECT k, k2 FROM a LEFT JOIN b ON c IS NOT DISTINCT FROM c2 AND k = k2")
+@query(_BY_CUSTOMER + "SELECT k, k2, n, n2 FROM a LEFT JOIN b ON k IS NOT DISTINCT FROM k2")
 def join_left_null_safe(spark, d):
-    a, b = _halves(spark, d)
-    return joins.join_left(a, b, {"c": "c2", "k": "k2"}).select("k", "k2")
+    a, b = _by_customer(spark, d)
+    return joins.join_left(a, b, {"k": "k2"}).select("k", "k2", "n", "n2")
 
 
-@query(_HALVES + "SELECT k, k2 FROM a RIGHT JOIN b ON c IS NOT DISTINCT FROM c2 AND k = k2")
+@query(_BY_CUSTOMER + "SELECT k, k2, n, n2 FROM a RIGHT JOIN b ON k IS NOT DISTINCT FROM k2")
 def join_right_null_safe(spark, d):
-    a, b = _halves(spark, d)
-    return joins.join_right(a, b, {"c": "c2", "k": "k2"}).select("k", "k2")
+    a, b = _by_customer(spark, d)
+    return joins.join_right(a, b, {"k": "k2"}).select("k", "k2", "n", "n2")
 
 
-@query(_HALVES + "SELECT k, k2 FROM a FULL JOIN b ON c IS NOT DISTINCT FROM c2 AND k = k2")
+@query(_BY_CUSTOMER + "SELECT k, k2, n, n2 FROM a FULL JOIN b ON k IS NOT DISTINCT FROM k2")
 def join_outer_null_safe(spark, d):
-    a, b = _halves(spark, d)
-    return joins.join_outer(a, b, {"c": "c2", "k": "k2"}).select("k", "k2")
+    a, b = _by_customer(spark, d)
+    return joins.join_outer(a, b, {"k": "k2"}).select("k", "k2", "n", "n2")
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
@@ -267,45 +267,46 @@ def gradual_broadcast(spark, d):
 
 
 def _keyed(spark, d):
+    """Customers in credit, and those of one segment with their balance set to 0."""
     c = T(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    a = table.with_id_from(c.where("c_custkey % 2 = 0"), "c_custkey")
-    b = table.with_id_from(c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(0.0)), "c_custkey")
+    a = table.with_id_from(c.where("c_acctbal > 0"), "c_custkey")
+    b = table.with_id_from(c.where("c_mktsegment = 'BUILDING'").withColumn("c_acctbal", F.lit(0.0)), "c_custkey")
     return a, b
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0")
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'")
 def intersect_ids(spark, d):
     a, b = _keyed(spark, d)
     return table.intersect(a, b).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING'")
 def difference_ids(spark, d):
     a, b = _keyed(spark, d)
     return table.difference(a, b).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0")
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'")
 def restrict_ids(spark, d):
     a, b = _keyed(spark, d)
     return table.restrict(a, b).select("c_custkey")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0 OR c_mktsegment = 'BUILDING'")
 def update_rows(spark, d):
     a, b = _keyed(spark, d)
     return table.update_rows(a, b).drop("id")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
 def update_cells(spark, d):
     a, b = _keyed(spark, d)
     return table.update_cells(a, table.restrict(b, a).select("id", "c_acctbal")).drop("id")
 
 
-@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
+@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def lookup_rows(spark, d):
-    c = table.with_id_from(T(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name"), "c_custkey")
+    c = table.with_id_from(T(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_name"), "c_custkey")
     return table.lookup(T(spark, d, "orders").select("o_orderkey", "o_custkey"), E.row_key(F.col("o_custkey").alias("c0")), c, allow_misses=True).select("o_orderkey", "c_name")
 
 
