@@ -36,7 +36,7 @@ def knn(data: DataFrame, data_id: str, data_vector: str, queries: DataFrame, que
     Ties go to the smaller id. Null vectors are skipped; metric is l2sq or cos.
     """
     kinds = {"q": queries.schema[query_id].dataType.simpleString(), "d": data.schema[data_id].dataType.simpleString()}
-    d = spread(data.select(F.col(data_id).alias("d"), F.col(data_vector).cast("array<double>").alias("v")).where("d is not null and v is not null"))
+    d = spread(data.select(F.col(data_id).alias("d"), F.col(data_vector).cast("array<double>").alias("v")).where("d is not null and v is not null"), data)
     found: DataFrame | None = None
     for ids, m in _query_blocks(queries, query_id, query_vector, block):
         part = d.mapInArrow(_nearest(ids, m, k, metric, to_arrow_type(queries.schema[query_id].dataType)), f"q {kinds['q']}, d {kinds['d']}, distance double")
@@ -186,7 +186,7 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     """
     kinds = {"q": queries.schema[query_id].dataType, "d": docs.schema[doc_id].dataType}
     names = {x: t.simpleString() for x, t in kinds.items()}
-    d = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null")).select("d", words(F.col("t")).alias("w"))
+    d = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null"), docs).select("d", words(F.col("t")).alias("w"))
     q = queries.select(F.col(query_id).alias("q"), F.array_distinct(words(F.col(query))).alias("w")).where("q is not null and size(w) > 0")
     n = q.count()
     parts = 1 if n <= block else 2 * -(-n // block)

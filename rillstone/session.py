@@ -64,12 +64,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """df in at least as many parts as there are cores, for work that costs far more than moving its rows.
 
-    Files are read in parts of 4 MB or more; a table of less than that a core
-    would leave cores idle, so it is dealt out. Larger ones stay as they are read.
+    Files are read in parts of 4 MB or more; a table (``of``, or df itself) of
+    less than that a core would leave cores idle, so df is dealt out. Larger ones
+    stay as they are read. Give the table before its columns are picked: what is
+    picked of it is hard to size.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str((of or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * cores) if size < cores * (4 << 20) else df
