@@ -205,7 +205,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, pri
 def pair_votes(pairs: DataFrame, pair_id: str, question: str, answer: str, contexts: str) -> DataFrame:
     """``pair_id`` and ``votes`` array<tinyint>, in the order of ``NAMES``."""
     rows = pairs.select(F.col(pair_id).alias("pair_id"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a"), F.col(contexts).cast("array<string>").alias("c"))
-    rows, kind = spread(rows), rows.schema["pair_id"].dataType.simpleString()
+    rows, kind = spread(rows, pairs), rows.schema["pair_id"].dataType.simpleString()
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

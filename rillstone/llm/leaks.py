@@ -183,7 +183,7 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     columns are dropped and may have any name.
     """
     rules = rules or Passages()
-    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null"))
+    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null"), docs)
     q = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

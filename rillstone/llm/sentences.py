@@ -353,7 +353,7 @@ def sentence_units(docs: DataFrame, doc_id: str, text: str, tagger: Tagger) -> D
     repeated rows give their units each time; an empty table gives an empty
     table; other columns are dropped and may have any name.
     """
-    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t is not null"))
+    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t is not null"), docs)
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
