@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOTAL, LEVEL, UPWARD = 0, 1, 2
+#: Readings that are looked at ahead of a total; two below it make it no mark.
+AHEAD = 3
 #: reasons, as bits
 LIMIT, BACKWARDS, SPIKE, STUCK = 1, 2, 4, 8
 REASONS = ("limit", "backwards", "spike", "stuck")
@@ -102,21 +104,32 @@ def _runs(change: np.ndarray) -> np.ndarray:
     return np.bincount(run)[run]
 
 
-def judge(seg: np.ndarray, seeds: np.ndarray, t: np.ndarray, v: np.ndarray, kind: np.ndarray, before: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """(score, reasons) of each reading. Rows are by segment and time; before: greatest plausible total of earlier shards, or NaN."""
+def _marks(seg: np.ndarray, ok: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """Readings that later totals are held against, else -inf: a reading that the next ones fall below is none.
+
+    after: AHEAD readings that follow each segment, or NaN.
+    """
+    n = len(ok)
+    end = np.searchsorted(seg, seg, side="right")
+    ahead = np.full((AHEAD, n), np.nan)
+    for j in range(AHEAD):
+        at = np.arange(n) + j + 1
+        beyond = np.nan if after is None else after[seg, np.clip(at - end, 0, AHEAD - 1)]
+        ahead[j] = np.where(at < end, ok[np.minimum(at, n - 1)], beyond)
+    with np.errstate(invalid="ignore"):
+        jutting = (ahead < ok).sum(axis=0) >= 2
+    return np.where(np.isnan(ok) | jutting, -np.inf, ok)
+
+
+def judge(seg: np.ndarray, seeds: np.ndarray, t: np.ndarray, v: np.ndarray, kind: np.ndarray, before: np.ndarray, rules: Rules, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(score, reasons) of each reading. Rows are by segment and time; before: greatest plausible total of earlier
+    shards, or NaN; after: see _marks."""
     n = len(v)
     start = np.r_[True, seg[1:] != seg[:-1]]
     limit = (v < 0) | np.isinf(v)
     ok = np.where(limit, np.nan, v)
-    # totals: a reading that the next ones fall below is no mark to be held against them
-    ahead = np.full((3, n), np.nan)
-    for j in range(min(3, n - 1)):
-        ahead[j, : n - j - 1] = np.where(seg[j + 1 :] == seg[: n - j - 1], ok[j + 1 :], np.nan)
-    with np.errstate(invalid="ignore"):
-        jutting = (ahead < ok).sum(axis=0) >= 2
-    mark = np.where(np.isnan(ok) | jutting, -np.inf, ok)
     first = np.flatnonzero(start)
-    mark[first] = np.fmax(mark[first], np.where(np.isnan(before[first]), -np.inf, before[first]))
+    mark = np.fmax(_marks(seg, ok, after), np.where(np.isnan(before), -np.inf, before))
     # running maximum within segments: ranks make the segments' values comparable
     rank = np.argsort(np.argsort(mark, kind="stable"), kind="stable").astype(np.int64)
     top = np.maximum.accumulate(rank + seg * n) - seg * n
@@ -187,9 +200,10 @@ def flag_readings(
     of its readings and scores all of them; a spike or stuck reading must reach
     ``rules.cutoff`` and pass its explicit check. Readings are shuffled once,
     by source and time shard; those within ``halo`` of a shard's border also go
-    to the neighbour, and the greatest total of earlier shards is carried over,
-    so a source that holds a third of all rows spreads over many tasks and sees
-    no cut. Python holds about a hundred thousand readings at a time.
+    to the neighbour. The greatest mark among the totals of earlier shards is
+    carried over, as judged with the readings that follow in later ones, so a
+    source that holds a third of all rows spreads over many tasks and its totals
+    see no cut. Python holds about a hundred thousand readings at a time.
 
     Defined cases: rows with a null time or a null or NaN value are no
     readings; rows of one source and time count once, the greatest ``order``
@@ -210,13 +224,17 @@ def flag_readings(
     s = r.withColumn("_s", F.explode(F.expr(f"array_distinct(array({shard_of('_t')}, {shard_of(f'(_t - {halo}L)')}, {shard_of(f'(_t + {halo}L)')}))")))
     s = s.repartition("_k", "_s").groupBy("_k", "_s", "_t").agg(F.max(F.struct("_o", "_v", "_kind")).alias("_x"))
     s = s.select("_k", "_s", "_t", "_x._v", "_x._kind")
-    tops = r.where(f"_kind = {TOTAL} and _v >= 0 and _v < double('infinity')").groupBy("_k", F.expr(shard_of("_t")).alias("_s")).agg(F.max("_v").alias("_top"))
-    earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    # a shard's halo holds the end of the one before; what is older comes from here
-    tops = tops.select("_k", "_s", F.max("_top").over(earlier).alias("_before")).where("_before is not null")
-    s = s.join(tops, ["_k", "_s"], "left").select("*", F.xxhash64("_k", "_s").alias("_h"), F.hash("_k", "_s").alias("_h2"))
-    s = s.sortWithinPartitions("_h", "_h2", "_t")
-    out = s.mapInArrow(_judged(rules, shard), "_k " + s.schema["_k"].dataType.simpleString() + ", _t bigint, _v double, _score double, _r int")
+    s = s.select("*", F.xxhash64("_k", "_s").alias("_h"), F.hash("_k", "_s").alias("_h2"))
+    k = "_k " + s.schema["_k"].dataType.simpleString()
+    sums = s.sortWithinPartitions("_h", "_h2", "_t").mapInArrow(_by_segment(_summed(shard)), f"{k}, _s bigint, _top double, _head array<double>, _tail array<double>")
+    # a row per source and shard: what one shard has to know of the others
+    order_s = Window.partitionBy("_k").orderBy("_s")
+    sums = sums.withColumn("_next", F.slice(F.flatten(F.collect_list("_head").over(order_s.rowsBetween(1, AHEAD))), 1, AHEAD))
+    sound = f"filter(_tail, (x, i) -> x >= 0 and x < double('infinity') and size(filter(slice(concat(_tail, _next), i + 2, {AHEAD}), y -> y >= 0 and y < x)) < 2)"
+    sums = sums.withColumn("_top", F.greatest("_top", F.array_max(F.expr(sound))))
+    sums = sums.select("_k", "_s", "_next", F.max("_top").over(order_s.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    s = s.join(sums, ["_k", "_s"], "left").sortWithinPartitions("_h", "_h2", "_t")
+    out = s.mapInArrow(_by_segment(_judged(rules, shard)), f"{k}, _t bigint, _v double, _score double, _r int")
     bits = [F.when(F.col("_r").bitwiseAND(1 << i) > 0, F.lit(name)) for i, name in enumerate(REASONS)]
     return out.select(
         *[F.col("_k").getField(f"f{i}").alias(c) for i, c in enumerate(src)],
@@ -227,7 +245,9 @@ def flag_readings(
     )
 
 
-def _judged(rules: Rules, shard: int, hold: int = 100_000):
+def _by_segment(told: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], hold: int = 100_000):
+    """told(rows, first row of each segment, segment of each row) over whole segments, about hold rows at a time."""
+
     # a segment longer than hold is held whole: its length is bounded by the span of a shard
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -240,20 +260,11 @@ def _judged(rules: Rules, shard: int, hold: int = 100_000):
             border = np.flatnonzero((h[1:] != h[:-1]) | (h2[1:] != h2[:-1])) + 1
             end = len(h) if last else (border[-1] if len(border) else 0)
             if end:
-                own = t.slice(0, end)
-                yield from judged(own, np.r_[0, border[border < end]].astype(np.int64), end)
+                first = np.r_[0, border[border < end]].astype(np.int64)
+                seg = np.repeat(np.arange(len(first)), np.diff(np.r_[first, end]))
+                yield from told(t.slice(0, end), first, seg).to_batches()
             held, rows = t.slice(end).to_batches(), len(h) - end
 
-        def judged(t: pa.Table, first: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-            seg = np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))
-            seeds = _mix(t["_h"].to_numpy()[first].astype(np.uint64))
-            when, v = t["_t"].to_numpy(), t["_v"].to_numpy()
-            before = t["_before"].to_numpy().astype(float)
-            score, reasons = judge(seg, seeds, when, v, t["_kind"].to_numpy(), before, rules)
-            mine = pa.array(when - when % shard == t["_s"].to_numpy())
-            done = pa.table({"_k": t["_k"], "_t": t["_t"], "_v": t["_v"], "_score": score, "_r": pa.array(reasons, pa.int32())})
-            yield from done.filter(mine).to_batches()
-
         for b in batches:
             if b.num_rows:
                 held.append(b)
@@ -264,3 +275,51 @@ def _judged(rules: Rules, shard: int, hold: int = 100_000):
             yield from ready(True)
 
     return over
+
+
+def _own(t: pa.Table, shard: int) -> np.ndarray:
+    """Readings of the shard itself, not of its halo."""
+    when = t["_t"].to_numpy()
+    return when - when % shard == t["_s"].to_numpy()
+
+
+def _summed(shard: int):
+    """A row per segment with readings of its own: the greatest mark but for the last AHEAD readings, the first and the last ones."""
+
+    def told(t: pa.Table, first: np.ndarray, seg: np.ndarray) -> pa.Table:
+        own = _own(t, shard)
+        seg, v, total = seg[own], t["_v"].to_numpy()[own], t["_kind"].to_numpy()[own] == TOTAL
+        kept, start, count = np.unique(seg, return_index=True, return_counts=True)
+        end = start + count
+        mark = _marks(seg, np.where(total & (v >= 0) & np.isfinite(v), v, np.nan))
+        mark[np.arange(len(v)) >= np.repeat(end - AHEAD, count)] = -np.inf
+        top = np.maximum.reduceat(mark, start) if len(start) else mark
+        v = np.where(total, v, np.nan)
+        few = lambda at, to: pa.array([v[a:b] if total[a] else [] for a, b in zip(at, to, strict=True)], pa.list_(pa.float64()))
+        row = pa.array(first[kept])
+        return pa.table({
+            "_k": t["_k"].take(row), "_s": t["_s"].take(row), "_top": pa.array(top, pa.float64(), mask=np.isinf(top)),
+            "_head": few(start, np.minimum(start + AHEAD, end)), "_tail": few(np.maximum(start, end - AHEAD), end),
+        })
+
+    return told
+
+
+def _judged(rules: Rules, shard: int):
+    def told(t: pa.Table, first: np.ndarray, seg: np.ndarray) -> pa.Table:
+        own = _own(t, shard)
+        seeds = _mix(t["_h"].to_numpy()[first].astype(np.uint64))
+        when, v = t["_t"].to_numpy(), t["_v"].to_numpy()
+        # the halo before a shard comes before what is carried into the shard; that behind it is part of what follows
+        before = np.where(when >= t["_s"].to_numpy(), t["_before"].to_numpy().astype(float), np.nan)
+        behind = np.bincount(seg, when >= t["_s"].to_numpy() + shard, len(first)).astype(int)
+        after = np.full((len(first), AHEAD), np.nan)
+        for i, (c, x) in enumerate(zip(behind, t["_next"].take(pa.array(first)).to_pylist(), strict=True)):
+            x = (x or [])[c:]
+            after[i, : len(x)] = x
+        after[(after < 0) | np.isinf(after)] = np.nan
+        score, reasons = judge(seg, seeds, when, v, t["_kind"].to_numpy(), before, rules, after)
+        done = pa.table({"_k": t["_k"], "_t": t["_t"], "_v": t["_v"], "_score": score, "_r": pa.array(reasons, pa.int32())})
+        return done.filter(pa.array(own))
+
+    return told

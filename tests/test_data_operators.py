@@ -217,6 +217,23 @@ def test_shards_do_not_show(spark, kind):
     assert flags(spark, s, kind, shard=100_000, halo=30_000) == whole and sum(x != "" for x in whole) > 4
 
 
+@pytest.mark.parametrize(("at", "halo"), [(20, 30_000), (98, 30_000), (98, 0), (97, 1_000), (99, 0)])
+def test_a_jutting_total_is_no_mark_for_later_shards(spark, at, halo):
+    """One wrong high total, far from a border or right before it, leaves the later shards alone."""
+    s = [float(i) for i in range(300)]
+    s[at], s[260] = 50_000.0, 3.0
+    whole = flags(spark, s, "total")
+    assert [i for i, x in enumerate(whole) if x] == [260] and flags(spark, s, "total", shard=100_000, halo=halo) == whole
+
+
+def test_a_resent_total_is_no_mark_for_later_shards(spark):
+    """A high total that was sent again with another value does not count, neither here nor later."""
+    rows = [("s", 1_000 * i, float(i), 1) for i in range(300)] + [("s", 50_000, 9_000.0, 0)]
+    df = spark.createDataFrame(rows, "source string, t bigint, v double, o bigint")
+    out = flag_readings(df, ["source"], "t", "v", F.lit("total"), "o", shard=100_000, halo=30_000)
+    assert out.where("size(reasons) > 0").count() == 0 and out.count() == 300
+
+
 def test_flags_empty_null_and_repeated(spark):
     df = spark.createDataFrame([(None, 1, 5.0, 1), (None, 1, -5.0, 2), (None, None, 5.0, 1), ("a", 1, None, 1)], "source string, t bigint, v double, o bigint")
     out = flag_readings(df, ["source"], "t", "v", F.lit(None).cast("string"), "o").collect()
