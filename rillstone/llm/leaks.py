@@ -7,6 +7,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ _CHAR = re.compile(rf"[{_CJK}]")
 @dataclass(frozen=True)
 class Passages:
     """words, chars: the least passage, in words or (Chinese, Japanese) characters. same: least share of its words
-    that are kept. seed, char_seed: tokens of a seed. rare: a seed is rare if at most so many items hold it.
-    seeds: seeds that a document window must share with an item to be aligned."""
+    that are kept. seed, char_seed: tokens of a seed. seeds: seeds that a document window must share with an item to be
+    aligned; of the 13 trigrams of 15 words three replaced words leave at least four."""
 
     words: int = 15
     chars: int = 30
@@ -36,7 +37,6 @@ class Passages:
     char_same: float = 0.92
     seed: int = 3
     char_seed: int = 6
-    rare: int = 2
     seeds: int = 4
     mismatch: float = 2.0
     gap: float = 2.0
@@ -75,7 +75,13 @@ def seeds(words: list[str], rules: Passages) -> Iterator[tuple[str, int]]:
 
 
 def align(a: np.ndarray, b: np.ndarray, rules: Passages) -> tuple[int, int, list[int]]:
-    """Smith-Waterman of two arrays of token numbers: (first, last + 1) of a in the best local alignment, and a's places that match.
+    """Smith-Waterman of two arrays of token numbers: (first, last + 1) of a in the best local alignment, and a's places that match."""
+    first, last, matches, _ = aligned(a, b, rules)
+    return first, last, matches
+
+
+def aligned(a: np.ndarray, b: np.ndarray, rules: Passages) -> tuple[int, int, list[int], list[int]]:
+    """See align; also b's places that match.
 
     A row at a time; gaps in b come from a running maximum.
     """
@@ -88,24 +94,25 @@ def align(a: np.ndarray, b: np.ndarray, rules: Passages) -> tuple[int, int, list
         h[i, 1:] = np.maximum(row, 0)
         h[i] = np.maximum(np.maximum.accumulate(h[i] + down) - down, 0)
     i, j = np.unravel_index(int(h.argmax()), h.shape)
-    last, matches = int(i), []
+    last, matches, there = int(i), [], []
     while i and j and h[i, j] > 0:
         if h[i, j] == h[i - 1, j - 1] + (1.0 if a[i - 1] == b[j - 1] else -rules.mismatch):
             if a[i - 1] == b[j - 1]:
                 matches.append(int(i) - 1)
+                there.append(int(j) - 1)
             i, j = i - 1, j - 1
         elif h[i, j] == h[i - 1, j] - rules.gap:
             i -= 1
         else:
             j -= 1
-    return int(i), last, matches
+    return int(i), last, matches, there
 
 
 class _Block:
     """A block of test items, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[int, str]], rare: set[str], held: dict[str, int], count: int, rules: Passages):
-        """rare: grams that are seeds. held: by token, the number of items that hold it. count: of all items."""
+    def __init__(self, items: list[tuple[int, str]], held: dict[str, int], count: int, rules: Passages):
+        """held: by token, the number of items that hold it. count: of all items."""
         self.rules, self.ids = rules, [i for i, _ in items]
         self.number: dict[str, int] = {}
         self.words, self.spans, self.by_char, self.weights, self.latin = [], [], [], [], []
@@ -118,18 +125,16 @@ class _Block:
             self.spans.append((s, e))
             self.by_char.append(2 * sum(bool(_CHAR.match(x)) for x in w) > len(w))
             for g, p in seeds(w, rules):
-                if g in rare:
-                    self.at[g].append((k, p))
+                self.at[g].append((k, p))
 
-    def found(self, text: str) -> set[int]:
-        """Numbers of the items of which the text reproduces a passage."""
+    def found(self, text: str) -> Iterator[tuple[int, list[int]]]:
+        """Numbers of the items of which the text reproduces a passage, each with the words of the text that match; once a place."""
         r, at = self.rules, self.at
         w = tokens(text)[0]
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for g, p in seeds(w, r):
             for k, q in at.get(g, ()):
                 hits[k].append((p - q, p))
-        out: set[int] = set()
         numbers: np.ndarray | None = None
         for k, h in hits.items():
             if len(h) < r.seeds:
@@ -143,39 +148,64 @@ class _Block:
                 j = i + 1
                 while j < len(h) and h[j][0] - h[j - 1][0] <= slack:
                     j += 1
-                if j - i >= r.seeds and self.passage(k, numbers, h[i][0] - slack, h[j - 1][0] + len(self.words[k]) + slack):
-                    out.add(k)
-                    break
+                if j - i >= r.seeds:
+                    kept = self.passage(k, numbers, h[i][0] - slack, h[j - 1][0] + len(self.words[k]) + slack)
+                    if kept:
+                        yield k, kept
+                        if kept[-1] - kept[0] + 1 == len(kept):  # without a word lost: no item can fit better there
+                            break
                 i = j
-        return out
 
-    def passage(self, k: int, numbers: np.ndarray, start: int, end: int) -> bool:
-        r = self.rules
-        first, last, matches = align(self.words[k], numbers[max(0, start) : max(0, end)], r)
+    def passage(self, k: int, numbers: np.ndarray, start: int, end: int) -> list[int]:
+        """Words of the text that match the item in a passage of it; none if there is no passage."""
+        r, start = self.rules, max(0, start)
+        b = numbers[start : max(0, end)]
+        if not self.by_char[k] and np.isin(self.words[k], b).sum() < r.same * r.words:
+            return []
+        first, last, matches, there = aligned(self.words[k], b, r)
         n, weights = last - first, self.weights[k]
         if not n or len(matches) < r.same * n:
-            return False
+            return []
         if self.by_char[k]:
             s, e = self.spans[k]
             latin = self.latin[k]
             telling = latin[first:last].sum() > 1 and latin[matches].sum() >= r.weight * latin[first:last].sum()
-            return e[last - 1] - s[first] >= r.chars and (telling or len(matches) >= r.char_same * n)
-        return n >= r.words and weights[matches].sum() >= r.weight * weights[first:last].sum()
+            good = e[last - 1] - s[first] >= r.chars and (telling or len(matches) >= r.char_same * n)
+        else:
+            good = n >= r.words and weights[matches].sum() >= r.weight * weights[first:last].sum()
+        return [start + j for j in reversed(there)] if good else []
+
+
+def fitting(places: list[tuple[int, list[int]]]) -> set[int]:
+    """Items of (item, words that match) that hold a place of a text: no other item matches all those words and more between them."""
+    sets = [set(kept) for _, kept in places]
+    out: set[int] = set()
+    for (n, kept), own in zip(places, sets, strict=True):
+        if n not in out and not any(m != n and own < {x for x in other if kept[0] <= x <= kept[-1]} for (m, _), other in zip(places, sets, strict=True)):
+            out.add(n)
+    return out
 
 
 def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, rules: Passages | None = None, block: int = 5_000) -> DataFrame:
     """``doc_id``, ``item_id`` of every document that reproduces a passage of an item, whole or in part.
 
-    Seeds are n-grams that few items hold (the phrases of a suite's templates
-    are in many). A document and an item that share seeds on close diagonals are
-    aligned by Smith-Waterman around them; the alignment must cover a passage
-    of ``rules.words`` words (``rules.chars`` characters in Chinese and Japanese)
-    of which ``rules.same`` are kept. How often a seed is in the corpus doesn't
-    count, so a passage copied into a third of all documents is found as well.
+    Seeds are all n-grams of the items, however many items hold them. A document
+    and an item that share seeds on close diagonals are aligned by Smith-Waterman
+    around them; the alignment must cover a passage of ``rules.words`` words
+    (``rules.chars`` characters in Chinese and Japanese) of which ``rules.same``
+    are kept. How often a seed is in the corpus or in the items doesn't count, so
+    a passage copied into a third of all documents, or shared by many items, is
+    found as well. Items of equal text are looked for once.
+
+    Items made from one template are told apart by their place in the document:
+    an item is not reproduced where another one matches all the words that it
+    matches and more of those between them (its names and numbers, say). Items
+    that share a passage match the same words of it and are all found.
 
     The items are the query set. They are taken in blocks of ``block``, each
     block sent to all tasks and held against all documents in one pass without
-    a shuffle; documents never meet each other and nothing of them is collected.
+    a shuffle; only what was found is then put together by document. Documents
+    never meet each other and nothing of them is collected.
 
     Defined cases: null or blank texts on either side leak nothing; null ids are
     ids like others; repeated rows give one row; an item shorter than a passage
@@ -184,42 +214,55 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     """
     rules = rules or Passages()
     d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null"), docs)
-    q = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
+    ids = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
+    q = ids.select("text").distinct()
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, t in zip(b.column("n").to_pylist(), b.column("text").to_pylist(), strict=True):
-                w = tokens(t)[0]
-                g = sorted({g for g, _ in seeds(w, rules)} | {f"={x}" for x in w})
+                g = sorted(set(tokens(t)[0]))
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(g), pa.int64()), pa.array(g, pa.string())], names=["n", "g"])
 
-    q = q.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("item_id", "text"), "item_id", "text")).cast("bigint") - 1)
+    q = q.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("text"), "text")).cast("bigint") - 1)
     count = q.count()
-    held = q.mapInArrow(grams, "n bigint, g string")
+    held = q.mapInArrow(words, "n bigint, g string")
     held = held.join(held.groupBy("g").agg(F.count(F.lit(1)).alias("items")), "g")
-    kinds = {f.name: f.dataType.simpleString() for f in d.select("doc_id").schema.fields + q.select("item_id").schema.fields}
-    out = d.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}")
+    kinds = {f.name: f.dataType.simpleString() for f in d.select("doc_id").schema.fields + ids.select("item_id").schema.fields}
+    place = f"doc_id {kinds['doc_id']}, text bigint, n bigint, kept array<int>"
+    out = d.sparkSession.createDataFrame([], place)
     for at in range(0, count, block):
         own = (F.col("n") >= at) & (F.col("n") < at + block)
         rows = [(r["n"], r["text"]) for r in q.where(own).select("n", "text").collect()]
-        told = held.where(own & (F.col("g").startswith("=") | (F.col("items") <= rules.rare))).select("g", "items").distinct().collect()
-        rare = {r["g"] for r in told if not r["g"].startswith("=")}
-        holders = {r["g"][1:]: r["items"] for r in told if r["g"].startswith("=")}
-        numbered = d.mapInArrow(_search(rows, rare, holders, count, rules), f"doc_id {kinds['doc_id']}, n bigint")
-        found = numbered.join(F.broadcast(q.where(own).select("n", "item_id")), "n").select("doc_id", "item_id")
-        out = out.unionByName(found)
-    return out.distinct()
+        holders = {r["g"]: r["items"] for r in held.where(own).select("g", "items").distinct().collect()}
+        out = out.unionByName(d.mapInArrow(_search(rows, holders, count, rules), place))
+    # a document is an id and a text: ids may repeat
+    out = out.groupBy("doc_id", "text").agg(F.collect_list(F.struct("n", "kept")).alias("places"))
+    out = out.mapInArrow(_fitting, f"doc_id {kinds['doc_id']}, n bigint")
+    return out.join(ids.join(q, "text").select("n", "item_id"), "n").select("doc_id", "item_id").distinct()
 
 
-def _search(rows: list[tuple[int, str]], rare: set[str], held: dict[str, int], count: int, rules: Passages):
+def _search(rows: list[tuple[int, str]], held: dict[str, int], count: int, rules: Passages):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(rows, rare, held, count, rules)
+        block = _Block(rows, held, count, rules)
         for b in batches:
-            pick, ns = [], []
+            pick, of, ns, places = [], [], [], []
             for r, t in enumerate(b.column("text").to_pylist()):
-                for k in block.found(t):
+                for k, kept in block.found(t):
                     pick.append(r)
+                    of.append(int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "big", signed=True))
                     ns.append(block.ids[k])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(pick, pa.int64())), pa.array(ns, pa.int64())], names=["doc_id", "n"])
+                    places.append(kept)
+            columns = [b.column("doc_id").take(pa.array(pick, pa.int64())), pa.array(of, pa.int64()), pa.array(ns, pa.int64()), pa.array(places, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n", "kept"])
 
     return over
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        pick, ns = [], []
+        for r, places in enumerate(b.column("places").to_pylist()):
+            for n in sorted(fitting([(x["n"], x["kept"]) for x in places])):
+                pick.append(r)
+                ns.append(n)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(pick, pa.int64())), pa.array(ns, pa.int64())], names=["doc_id", "n"])

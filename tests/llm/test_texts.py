@@ -79,6 +79,25 @@ def test_leaks_in_blocks_and_copies(spark):
     assert found(spark, docs, items=()) == set() and found(spark, [], items=(ITEM,)) == set()
 
 
+def test_leaks_that_many_items_hold(spark):
+    """A passage that several items share, and the same item under several ids, are found for all of them."""
+    shared = "When the quartz feeder behind the northern relay stops counting its blue tickets before noon the oldest warden copies every ledger to the spare drum."
+    asked = [f"{shared} {end}" for end in ("Who copies the ledger?", "What stops before noon?", "Which drum is spare?", "Where does the feeder stand?")]
+    items = [*asked, ITEM, ITEM, ITEM, OTHER]
+    docs = ["Before. " + shared + " After.", "x " + ITEM.lower(), asked[1]]
+    want = {(0, i) for i in range(4)} | {(1, i) for i in (4, 5, 6)} | {(2, i) for i in range(4)}
+    assert found(spark, docs, items) == want and found(spark, docs, items, block=1) == want
+
+
+def test_leaks_of_one_template_are_told_apart(spark):
+    """Of items that differ in a name and a number, only the one that is reproduced is found, whatever the blocks."""
+    line = "In the notebook of {} it is written that the buffer sorts {} pages while the feeder still counts its blue tickets"
+    items = [line.format(f"Name{i}", 100 + i) for i in range(6)]
+    docs = ["x " + items[2] + " y", items[4] + " and " + items[1]]
+    want = {(0, 2), (1, 4), (1, 1)}
+    assert found(spark, docs, items) == want and found(spark, docs, items, block=2) == want
+
+
 def test_alignment_by_brute_force():
     rng = np.random.default_rng(0)
     r = L.Passages()
