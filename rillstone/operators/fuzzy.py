@@ -27,6 +27,25 @@ def weight(count: Column, how: str) -> Column:
     return count.cast("double")
 
 
+def _edges(df: DataFrame, i: str, t: str, features: Callable[[Column], Column]) -> DataFrame:
+    return df.select(F.col(i).alias("n"), F.explode(features(F.col(t))).alias("f")).groupBy("n", "f").agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def _scored(a: DataFrame, b: DataFrame, occurring: DataFrame, normalization: str, heavy: int, within: bool = False) -> DataFrame:
+    """l, r, s: pairs that share a light feature, with the weight of all features they share. within: a and b are one table, no row meets itself."""
+    cnt = occurring.groupBy("f").agg(F.count(F.lit(1)).alias("cnt")).select("f", "cnt", weight(F.col("cnt"), normalization).alias("fw"))
+    la = a.join(cnt, "f").select(F.col("n").alias("l"), "f", "w", "cnt", "fw")
+    rb = b.join(cnt, "f").select(F.col("n").alias("r"), "f", F.col("w").alias("v"), "cnt")
+    light = la.where(F.col("cnt") < heavy).join(rb.where(F.col("cnt") < heavy).select("r", "f", "v"), "f")
+    if within:
+        light = light.where("l <> r")
+    pairs = light.groupBy("l", "r").agg(F.sum(F.col("w") * F.col("v") * F.col("fw")).alias("s"))
+    # frequent features: looked up by pair and feature, never multiplied out
+    more = pairs.select("l", "r").join(la.where(F.col("cnt") >= heavy), "l").join(rb.where(F.col("cnt") >= heavy).select("r", "f", "v"), ["r", "f"])
+    more = more.groupBy("l", "r").agg(F.sum(F.col("w") * F.col("v") * F.col("fw")).alias("h"))
+    return pairs.join(more, ["l", "r"], "left").select("l", "r", F.round(F.col("s") + F.coalesce("h", F.lit(0.0)), 9).alias("s"))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, features: Callable[[Column], Column] = tokenize, normalization: str = "logweight", heavy: int = 100, by_hand: DataFrame | None = None) -> DataFrame:
     """``left_id``, ``right_id``, ``weight``: pairs of rows that are each other's best match.
 
@@ -37,22 +56,11 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_text: str,
     weight) are taken as they are, their rows out of the rest.
     """
 
-    def edges(df: DataFrame, i: str, t: str) -> DataFrame:
-        return df.select(F.col(i).alias("n"), F.explode(features(F.col(t))).alias("f")).groupBy("n", "f").agg(F.count(F.lit(1)).cast("double").alias("w"))
-
-    a, b = edges(left, left_id, left_text), edges(right, right_id, right_text)
+    a, b = _edges(left, left_id, left_text, features), _edges(right, right_id, right_text, features)
     if by_hand is not None:
         a = a.join(by_hand.select(F.col("left_id").alias("n")), "n", "left_anti")
         b = b.join(by_hand.select(F.col("right_id").alias("n")), "n", "left_anti")
-    cnt = a.select("f").unionAll(b.select("f")).groupBy("f").agg(F.count(F.lit(1)).alias("cnt")).select("f", "cnt", weight(F.col("cnt"), normalization).alias("fw"))
-    la = a.join(cnt, "f").select(F.col("n").alias("l"), "f", "w", "cnt", "fw")
-    rb = b.join(cnt, "f").select(F.col("n").alias("r"), "f", F.col("w").alias("v"), "cnt")
-    light = la.where(F.col("cnt") < heavy).join(rb.where(F.col("cnt") < heavy).select("r", "f", "v"), "f")
-    pairs = light.groupBy("l", "r").agg(F.sum(F.col("w") * F.col("v") * F.col("fw")).alias("s"))
-    # frequent features: looked up by pair and feature, never multiplied out
-    more = pairs.select("l", "r").join(la.where(F.col("cnt") >= heavy), "l").join(rb.where(F.col("cnt") >= heavy).select("r", "f", "v"), ["r", "f"])
-    more = more.groupBy("l", "r").agg(F.sum(F.col("w") * F.col("v") * F.col("fw")).alias("h"))
-    scored = pairs.join(more, ["l", "r"], "left").select("l", "r", F.round(F.col("s") + F.coalesce("h", F.lit(0.0)), 9).alias("s"))
+    scored = _scored(a, b, a.select("f").unionAll(b.select("f")), normalization, heavy)
     best_l = scored.groupBy("l").agg(F.max(F.struct("s", (-F.col("r")).alias("o"), "r")).alias("x")) if dict(scored.dtypes)["r"] in ("bigint", "int") else scored.groupBy("l").agg(F.max(F.struct("s", F.col("r").alias("o"), "r")).alias("x"))
     got = best_l.select("l", F.col("x.r").alias("r"), F.col("x.s").alias("s"))
     best_r = got.groupBy("r").agg(F.max(F.struct("s", (-F.col("l")).alias("o"), "l")).alias("x")) if dict(got.dtypes)["l"] in ("bigint", "int") else got.groupBy("r").agg(F.max(F.struct("s", F.col("l").alias("o"), "l")).alias("x"))
@@ -60,18 +68,17 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_text: str,
     return out if by_hand is None else out.unionByName(by_hand.select("left_id", "right_id", F.col("weight").cast("double").alias("weight")))
 
 
-def fuzzy_self_match(df: DataFrame, row_id: str, text: str, **kw) -> DataFrame:
-    """Pairs within one table; each pair once, the smaller id on the left."""
-    a = df.select(F.col(row_id).alias("i"), F.col(text).alias("t"))
-    m = _self_scores(a, **kw)
-    best = m.groupBy("l").agg(F.max(F.struct("s", (-F.col("r")).alias("o"), "r")).alias("x")).select("l", F.col("x.r").alias("r"), F.col("x.s").alias("s"))
-    best = best.groupBy("r").agg(F.max(F.struct("s", (-F.col("l")).alias("o"), "l")).alias("x"))
-    return best.select(F.col("x.l").alias("left_id"), F.col("r").alias("right_id"), F.col("x.s").alias("weight"))
+def fuzzy_self_match(df: DataFrame, row_id: str, text: str, features: Callable[[Column], Column] = tokenize, normalization: str = "logweight", heavy: int = 100) -> DataFrame:
+    """Pairs within one table, scored as in fuzzy_match; each pair once, the smaller id on the left.
 
-
-def _self_scores(a: DataFrame, features: Callable[[Column], Column] = tokenize, normalization: str = "logweight", heavy: int = 100) -> DataFrame:
-    e = a.select(F.col("i"), F.explode(features(F.col("t"))).alias("f")).groupBy("i", "f").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    cnt = e.groupBy("f").agg(F.count(F.lit(1)).alias("cnt")).select("f", "cnt", weight(F.col("cnt"), normalization).alias("fw"))
-    x = e.join(cnt.where(F.col("cnt") < heavy), "f")
-    p = x.alias("a").join(x.alias("b"), (F.col("a.f") == F.col("b.f")) & (F.col("a.i") < F.col("b.i")))
-    return p.groupBy(F.col("a.i").alias("l"), F.col("b.i").alias("r")).agg(F.round(F.sum(F.col("a.w") * F.col("b.w") * F.col("a.fw")), 9).alias("s"))
+    The best partner of a row is sought among all others, and of the rows with
+    the same partner the best one holds; ties by the ids of the pair.
+    """
+    e = _edges(df, row_id, text, features)
+    m = _scored(e, e, e.select("f"), normalization, heavy, within=True)
+    small, great = F.least("l", "r"), F.greatest("l", "r")
+    ids = (-small, -great) if dict(m.dtypes)["l"] in ("bigint", "int") else (small, great)
+    m = m.select("l", "r", F.struct("s", ids[0].alias("o"), ids[1].alias("p")).alias("x"))
+    m = m.groupBy("l").agg(F.max_by("r", "x").alias("r"), F.max("x").alias("x"))
+    m = m.groupBy("r").agg(F.max_by("l", "x").alias("l"), F.max("x").alias("x"))
+    return m.where("l < r").select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), F.col("x.s").alias("weight"))

@@ -233,6 +233,22 @@ def fuzzy_self_match(spark, d):
     return Z.fuzzy_self_match(T(spark, d, "nation"), "n_nationkey", "n_name", features=Z.letters)
 
 
+@query("SELECT c_custkey AS left_id, c_custkey AS right_id FROM customer")
+def fuzzy_match_customers(spark, d):
+    """Customers against their own names written otherwise, the segment being a frequent word on both sides."""
+    c = T(spark, d, "customer").select("c_custkey", F.concat_ws(" ", F.lower("c_name"), "c_mktsegment").alias("t"))
+    m = T(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat_ws("  ", F.lit("the"), "c_mktsegment", F.upper("c_name")).alias("t"))
+    return Z.fuzzy_match(c, m, "c_custkey", "t", "k", "t").select("left_id", "right_id")
+
+
+@query()
+def fuzzy_self_match_customers(spark, d):
+    """Customers of about the same balance, the closer if segment and nation are the same as well."""
+    balance = F.concat(F.lit("b"), F.floor("c_acctbal"))
+    c = T(spark, d, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", F.concat(F.lit("n"), "c_nationkey"), balance).alias("t"))
+    return Z.fuzzy_self_match(c, "c_custkey", "t")
+
+
 @query()
 def viterbi_paths(spark, d):
     """Busy and calm phases of users, from how many events follow each other."""

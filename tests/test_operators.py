@@ -195,3 +195,47 @@ def test_chunks():
     t = "One two three. Four five six seven.\n\nEight nine " + "x" * 400
     assert "".join(P.token_chunks(t, 2, 5)) == t and all(len(c) <= 50 for c in P.recursive_chunks(t, 50))
     assert P.token_chunks("", 1, 5) == []
+
+
+def _brute_pairs(left, right, within):
+    """Scores of all pairs that share a feature held by fewer than 100 rows."""
+    from collections import Counter
+    from math import ceil, log2
+
+    a, b = {i: Counter(t) for i, t in left.items()}, {i: Counter(t) for i, t in right.items()}
+    held = Counter(f for x in (a, *([] if within else [b])) for c in x.values() for f in c)
+    score = {}
+    for i, x in a.items():
+        for j, y in b.items():
+            both = x.keys() & y.keys()
+            if not (within and i == j) and any(held[f] < 100 for f in both):
+                score[i, j] = round(sum(x[f] * y[f] / ceil(log2(held[f] + 1)) for f in both), 9)
+    return score
+
+
+def test_fuzzy_matches_of_many_rows_by_brute_force(spark):
+    """Letters that 100 rows or more hold add to the weight of pairs, in both kinds of match, and partners are sought both ways."""
+    import random
+
+    from rillstone.operators import fuzzy as Z
+
+    rng = random.Random(5)
+    texts = {i: "".join(rng.choices("etaoin", k=6) + rng.choices("bcdfghjklmpq", k=2)) for i in range(130)}
+    other = {i: "".join(rng.choices("etaoin", k=6) + rng.choices("bcdfghjklmpq", k=2)) for i in range(120)}
+    df = lambda t: spark.createDataFrame(list(t.items()), "i bigint, t string")
+    got = lambda d: {(r["left_id"], r["right_id"]): round(r["weight"], 6) for r in d.collect()}
+
+    def best(score, rank):
+        first = {}
+        for p in score:
+            first[p[0]] = max(first.get(p[0], p), p, key=rank)
+        second = {}
+        for p in first.values():
+            second[p[1]] = max(second.get(p[1], p), p, key=rank)
+        return {p: round(score[p], 6) for p in second.values()}
+
+    s = _brute_pairs(texts, texts, True)
+    want = {p: w for p, w in best(s, lambda p: (s[p], -min(p), -max(p))).items() if p[0] < p[1]}
+    assert got(Z.fuzzy_self_match(df(texts), "i", "t", features=Z.letters)) == want and len(want) > 5
+    m = _brute_pairs(texts, other, False)
+    assert got(Z.fuzzy_match(df(texts), df(other), "i", "t", "i", "t", features=Z.letters)) == best(m, lambda p: (m[p], -p[1], -p[0]))
