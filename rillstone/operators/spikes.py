@@ -121,14 +121,20 @@ def _marks(seg: np.ndarray, ok: np.ndarray, after: np.ndarray | None = None) ->
     return np.where(np.isnan(ok) | jutting, -np.inf, ok)
 
 
-def judge(seg: np.ndarray, seeds: np.ndarray, t: np.ndarray, v: np.ndarray, kind: np.ndarray, before: np.ndarray, rules: Rules, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(score, reasons) of each reading. Rows are by segment and time; before: greatest plausible total of earlier
-    shards, or NaN; after: see _marks."""
+def _span(seg: np.ndarray, v: np.ndarray, good: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest good reading of each segment; inf and -inf if there is none."""
+    lo, hi = np.full(many, np.inf), np.full(many, -np.inf)
+    np.minimum.at(lo, seg[good], v[good])
+    np.maximum.at(hi, seg[good], v[good])
+    return lo, hi
+
+
+def _checked(seg: np.ndarray, v: np.ndarray, kind: np.ndarray, before: np.ndarray, rules: Rules, after: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(limit, backwards, spike, ratio to the level around) of each reading; see judge."""
     n = len(v)
     start = np.r_[True, seg[1:] != seg[:-1]]
     limit = (v < 0) | np.isinf(v)
     ok = np.where(limit, np.nan, v)
-    first = np.flatnonzero(start)
     mark = np.fmax(_marks(seg, ok, after), np.where(np.isnan(before), -np.inf, before))
     # running maximum within segments: ranks make the segments' values comparable
     rank = np.argsort(np.argsort(mark, kind="stable"), kind="stable").astype(np.int64)
@@ -144,16 +150,28 @@ def judge(seg: np.ndarray, seeds: np.ndarray, t: np.ndarray, v: np.ndarray, kind
     off = ((kind == LEVEL) & (np.abs(ratio) >= far)) | ((kind == UPWARD) & (ratio >= far))
     off &= ~limit
     length = _runs(start | np.r_[True, off[1:] != off[:-1]])
-    spike = off & (length <= rules.longest)
+    return limit, backwards, off & (length <= rules.longest), ratio
+
+
+def judge(
+    seg: np.ndarray, seeds: np.ndarray, t: np.ndarray, v: np.ndarray, kind: np.ndarray, before: np.ndarray, rules: Rules, after: np.ndarray | None = None, moves: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(score, reasons) of each reading. Rows are by segment and time; before: greatest plausible total of earlier
+    shards, or NaN; after: see _marks; moves: of each segment, whether its source has different plausible values in
+    all its shards (default: in this segment)."""
+    n = len(v)
+    start = np.r_[True, seg[1:] != seg[:-1]]
+    first = np.flatnonzero(start)
+    limit, backwards, spike, ratio = _checked(seg, v, kind, before, rules, after)
+    ok = np.where(limit, np.nan, v)
     # identical values; a series that is constant, but for what is wrong in it, is not stuck
     same = _runs(start | np.r_[True, v[1:] != v[:-1]])
     good = ~(limit | spike | backwards)
     usual = _runs(start)
-    distinct_from_first = np.zeros(len(seeds), bool)
-    value_of = np.full(len(seeds), np.nan)
-    value_of[seg[good][::-1]] = v[good][::-1]
-    np.logical_or.at(distinct_from_first, seg[good], v[good] != value_of[seg[good]])
-    stuck = (kind != TOTAL) & good & (same >= rules.stuck) & distinct_from_first[seg]
+    if moves is None:
+        lo, hi = _span(seg, v, good, len(seeds))
+        moves = lo < hi
+    stuck = (kind != TOTAL) & good & (same >= rules.stuck) & moves[seg]
     # features
     prev = np.r_[np.nan, ok[:-1]]
     prev[start] = np.nan
@@ -203,7 +221,7 @@ def flag_readings(
     to the neighbour. The greatest mark among the totals of earlier shards is
     carried over, as judged with the readings that follow in later ones, so a
     source that holds a third of all rows spreads over many tasks and its totals
-    see no cut. Python holds about a hundred thousand readings at a time.
+    see no cut; whether a source otherwise moves is judged over all its shards. Python holds about a hundred thousand readings at a time.
 
     Defined cases: rows with a null time or a null or NaN value are no
     readings; rows of one source and time count once, the greatest ``order``
@@ -226,13 +244,15 @@ def flag_readings(
     s = s.select("_k", "_s", "_t", "_x._v", "_x._kind")
     s = s.select("*", F.xxhash64("_k", "_s").alias("_h"), F.hash("_k", "_s").alias("_h2"))
     k = "_k " + s.schema["_k"].dataType.simpleString()
-    sums = s.sortWithinPartitions("_h", "_h2", "_t").mapInArrow(_by_segment(_summed(shard)), f"{k}, _s bigint, _top double, _head array<double>, _tail array<double>")
+    sums = s.sortWithinPartitions("_h", "_h2", "_t").mapInArrow(_by_segment(_summed(rules, shard)), f"{k}, _s bigint, _top double, _head array<double>, _tail array<double>, _lo double, _hi double")
     # a row per source and shard: what one shard has to know of the others
     order_s = Window.partitionBy("_k").orderBy("_s")
     sums = sums.withColumn("_next", F.slice(F.flatten(F.collect_list("_head").over(order_s.rowsBetween(1, AHEAD))), 1, AHEAD))
     sound = f"filter(_tail, (x, i) -> x >= 0 and x < double('infinity') and size(filter(slice(concat(_tail, _next), i + 2, {AHEAD}), y -> y >= 0 and y < x)) < 2)"
     sums = sums.withColumn("_top", F.greatest("_top", F.array_max(F.expr(sound))))
-    sums = sums.select("_k", "_s", "_next", F.max("_top").over(order_s.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    whole = order_s.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.withColumn("_moves", F.coalesce(F.min("_lo").over(whole) < F.max("_hi").over(whole), F.lit(False)))
+    sums = sums.select("_k", "_s", "_next", "_moves", F.max("_top").over(order_s.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     s = s.join(sums, ["_k", "_s"], "left").sortWithinPartitions("_h", "_h2", "_t")
     out = s.mapInArrow(_by_segment(_judged(rules, shard)), f"{k}, _t bigint, _v double, _score double, _r int")
     bits = [F.when(F.col("_r").bitwiseAND(1 << i) > 0, F.lit(name)) for i, name in enumerate(REASONS)]
@@ -283,12 +303,15 @@ def _own(t: pa.Table, shard: int) -> np.ndarray:
     return when - when % shard == t["_s"].to_numpy()
 
 
-def _summed(shard: int):
-    """A row per segment with readings of its own: the greatest mark but for the last AHEAD readings, the first and the last ones."""
+def _summed(rules: Rules, shard: int):
+    """A row per segment with readings of its own: of totals the greatest mark but for the last AHEAD readings, the first and
+    the last ones, of other sources the least and greatest plausible reading."""
 
     def told(t: pa.Table, first: np.ndarray, seg: np.ndarray) -> pa.Table:
-        own = _own(t, shard)
-        seg, v, total = seg[own], t["_v"].to_numpy()[own], t["_kind"].to_numpy()[own] == TOTAL
+        own, v, kind = _own(t, shard), t["_v"].to_numpy(), t["_kind"].to_numpy()
+        limit, _, spike, _ = _checked(seg, v, kind, np.full(len(v), np.nan), rules, None)
+        lo, hi = _span(seg, v, own & (kind != TOTAL) & ~(limit | spike), len(first))
+        seg, v, total = seg[own], v[own], kind[own] == TOTAL
         kept, start, count = np.unique(seg, return_index=True, return_counts=True)
         end = start + count
         mark = _marks(seg, np.where(total & (v >= 0) & np.isfinite(v), v, np.nan))
@@ -300,6 +323,7 @@ def _summed(shard: int):
         return pa.table({
             "_k": t["_k"].take(row), "_s": t["_s"].take(row), "_top": pa.array(top, pa.float64(), mask=np.isinf(top)),
             "_head": few(start, np.minimum(start + AHEAD, end)), "_tail": few(np.maximum(start, end - AHEAD), end),
+            "_lo": pa.array(lo[kept], pa.float64(), mask=np.isinf(lo[kept])), "_hi": pa.array(hi[kept], pa.float64(), mask=np.isinf(hi[kept])),
         })
 
     return told
@@ -318,7 +342,9 @@ def _judged(rules: Rules, shard: int):
             x = (x or [])[c:]
             after[i, : len(x)] = x
         after[(after < 0) | np.isinf(after)] = np.nan
-        score, reasons = judge(seg, seeds, when, v, t["_kind"].to_numpy(), before, rules, after)
+        # a segment whose source has a row in no shard of its own is all halo and told nothing
+        moves = np.array(t["_moves"].take(pa.array(first)).fill_null(False).to_pylist(), bool)
+        score, reasons = judge(seg, seeds, when, v, t["_kind"].to_numpy(), before, rules, after, moves)
         done = pa.table({"_k": t["_k"], "_t": t["_t"], "_v": t["_v"], "_score": score, "_r": pa.array(reasons, pa.int32())})
         return done.filter(pa.array(own))
 

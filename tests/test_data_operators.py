@@ -234,6 +234,16 @@ def test_a_resent_total_is_no_mark_for_later_shards(spark):
     assert out.where("size(reasons) > 0").count() == 0 and out.count() == 300
 
 
+def test_a_source_that_moved_days_before_is_stuck(spark):
+    """Stuck over a border and for whole shards: flagged as if uncut. A source constant but for wrong readings is sound in all shards."""
+    s = noisy(150) + [104.0] * 350
+    whole = flags(spark, s)
+    assert set(whole[150:]) == {"stuck"} and flags(spark, s, shard=100_000, halo=30_000) == whole
+    constant = [7.0] * 400
+    constant[50], constant[250] = 900.0, -1.0
+    assert [x for x in flags(spark, constant, shard=100_000, halo=30_000) if x] == ["spike", "limit"]
+
+
 def test_flags_empty_null_and_repeated(spark):
     df = spark.createDataFrame([(None, 1, 5.0, 1), (None, 1, -5.0, 2), (None, None, 5.0, 1), ("a", 1, None, 1)], "source string, t bigint, v double, o bigint")
     out = flag_readings(df, ["source"], "t", "v", F.lit(None).cast("string"), "o").collect()
