@@ -1,29 +1,26 @@
-"""Sentence boundaries across languages and scripts: a linear-chain tagger over the places where a sentence may end."""
+"""Sentence boundaries across languages and scripts: linear-chain taggers that learn from the layout of the corpus itself."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
 
-# Marks, abbreviations and names of months.
+# Marks.
 _STOPS = ".!?。！？．｡؟۔।॥…‼⁇⁈⁉"
 _CLOSE = "»”\"'’）」』】》〉)]}›"
 _OPEN = "«“\"'‘（「『【《〈([{„‚‹¿¡"
 _ZERO = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
-#: abbreviations that never end a sentence; those that don't before a number; those that may
-_NEVER = frozenset("dr mr mrs prof st jr sr sra srta dra vs cf approx ca bzw vgl inkl hr fr ex ej env mm mme mlle им ул см стр д-р डॉ श्री e.g i.e z.b d.h u.a p.ex p.ej т.е т.д viz al gen col rev hon ing lic".split())
-_NUMBERED = frozenset("no nr nos fig figs sec eq ch art abb bd vol pp num núm nº рис гл табл п p s ver v".split())
-_MAY = {"etc": "etc", "usw": "etc", "inc": "firm", "ltd": "firm", "co": "firm", "corp": "firm", "a.m": "clock", "p.m": "clock"}
-_MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember januari jänner".split())
 _HEADING = re.compile(r"\s{0,3}#{1,6}\s+\S")
 _TABLE = re.compile(r"\s*\|.*\|\s*$")
 _LOG = re.compile(r"\s*\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
@@ -34,13 +31,17 @@ _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 
 _PLACE = re.compile(rf"[{re.escape(_STOPS)}]+[{_ZERO}]*(?:[\u00a0\u202f]?[{re.escape(_CLOSE)}*_]+)*|(?<=[\u0e00-\u0e4e\u0e5a-\u0e7f])\s+(?=[\u0e00-\u0e4e\u0e5a-\u0e7f])")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
+_THAI = re.compile("[\u0e00-\u0e4e\u0e5a-\u0e7f]")
 _IDENT = re.compile(r"[a-z0-9]+(?:[._-][a-z0-9]+)*(?:\(\))?")
 _TOKEN_END = re.compile(r"\S+$")
-#: scripts that may go without marks or spaces between sentences
-_BARE = {"thai": re.compile("[\u0e00-\u0e7f]+"), "han": re.compile("[぀-ヿ㐀-䶿一-鿿，、,]+")}
-_LONG_RUN = 240
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: letters of scripts that may go without marks or spaces between sentences, and what stands between their sentences otherwise
+_BARE = {"thai": "\u0e00-\u0e4e\u0e5a-\u0e7f", "han": "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"}
+_LETTER = {k: re.compile(f"[{v}]") for k, v in _BARE.items()}
+_UNBARE = re.compile(f"[{''.join(_BARE.values())}]")
 
-Place = tuple[int, tuple]
+Seen = tuple[str, str, str, str, str, str, str, str]
+Place = tuple[int, Seen]
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -131,74 +132,69 @@ def _opened(t: str, start: int, i: int, closer: str) -> str:
     return "colon" if b[-1] in ":：,，" else "first" if b[-1] in _STOPS or b[-1] in _CLOSE else "inner"
 
 
+def _word(w: str) -> str:
+    """A word as a feature: itself, or its shape if it is long or a number."""
+    if w.isdigit():
+        return f"#{min(len(w), 3)}"
+    return w if len(w) <= 12 else "long"
+
+
+def _shape(w: str) -> str:
+    """What kind of word stands before a place."""
+    if not w:
+        return "none"
+    if _CJK.match(w[-1]):
+        return "cjk"
+    if w.isdigit():
+        return "figures" if len(w) > 2 else "figure"
+    if len(w) == 1 and w.isalpha():
+        return "letter"
+    if not w.isalpha():
+        return "mixed"
+    return "Word" if w[0].isupper() else "word"
+
+
 def places(t: str, start: int, end: int) -> list[Place]:
-    """The places of a block where a sentence may end, each with what is seen there."""
+    """The places of a block where a sentence may end, each with what is seen around it.
+
+    Seen: the mark, the word before it and its shape, what closes behind it, what the closed quotation began after,
+    whether white space follows, and the kind of what follows and its first word.
+    """
     out: list[Place] = []
-    no_case = not any(c.isupper() for c in t[start:end])
+    no_case = (block := t[start:end]) == block.lower()
     for m in _PLACE.finditer(t, start, end):
         s, e = m.span()
         if t[e : e + 1] in ("“", "‘") and t.rfind("„", start, s) > t.rfind("“", start, s):
             e += 1  # German quotations end with the mark that others begin with
         g = t[s:e]
         if g.isspace():
-            out.append((s, ("thai", "", "", "", True, "")))
+            out.append((s, ("space", "", "thai", "", "", "gap", "thai", "")))
             continue
-        marks = g.rstrip(_CLOSE + "“‘*_\u00a0\u202f" + _ZERO)
-        marks = marks or g
+        marks = g.rstrip(_CLOSE + "“‘*_\u00a0\u202f" + _ZERO) or g
         closers = g[len(marks) :].strip(_ZERO + "\u00a0\u202f")
         quote = next((c for c in reversed(closers) if c in "»”\"'’」』“‘›"), "")
-        kind = "wide" if any(c in "。！？．｡।॥؟۔" for c in marks) else "dots" if marks.count(".") > 1 or "…" in marks and not any(c in "!?" for c in marks) else "stop" if set(marks) == {"."} else "mark"
+        mark = marks[0] if len(marks) == 1 else "?!" if any(c in "!?！？" for c in marks) else "..."
         follows, gap = _next_kind(t, e, end, no_case)
-        before = ""
-        if kind == "stop":
-            w = _TOKEN_END.search(t[max(start, s - 30) : s])
-            word = (w[0] if w else "").lstrip(_OPEN + "*_").lower()
-            if word in _NEVER or (word == "ms" and w[0].endswith("Ms")):  # the title, not milliseconds
-                before = "never"
-            elif word in _NUMBERED:
-                before = "numbered"
-            elif word in _MAY:
-                before = _MAY[word]
-            elif len(word) == 1 and word.isalpha() and not _CJK.match(word):
-                before = "letter"
-            elif word.isdigit() and len(word) <= 2:
-                w2 = re.match(r"\s*(\w+)", t[e : e + 20])
-                before = "day" if w2 and w2[1].lower() in _MONTHS else "number"
-            elif word and _CJK.match(word[-1]):
-                before = "cjk"
-        elif kind == "wide" and quote:
-            before = _opened(t, start, s, quote)
-        out.append((e, (kind, before, follows, "q" if quote else "b" if closers else "", gap, "")))
+        w = _TOKEN_END.search(t, max(start, s - 30), s) if mark in ".।" else None
+        before = w[0].lstrip(_OPEN + "*_") if w else t[s - 1 : s] if s > start else ""
+        n = _LETTERS.search(t, e, min(end, e + 30))
+        after = _word(n[0]) if n and not _UNBARE.match(n[0]) and t[e : n.start()].strip(_OPEN + _ZERO + " \t\r\n\u00a0*_") == "" else ""
+        out.append((e, (mark, _word(before) if w else "", _shape(before), "q" if quote else "b" if closers else "", _opened(t, start, s, quote) if quote else "", "gap" if gap else "", follows, after)))
     return out
 
 
-def _known(seen: tuple) -> bool:
-    """The label of a training place, by rule: what an annotator would say who knows the abbreviations."""
-    kind, before, follows, close, gap, _ = seen
-    if kind == "thai" or follows == "end":
-        return True
-    if kind == "wide":
-        if follows == "punct" or (close and gap and follows in ("lower", "dash")):
-            return False
-        if close == "q" and not gap:
-            return before == "colon"
-        return not (close == "q" and follows == "dash")
-    if not gap:
-        return follows in ("cjk", "open", "other") and (kind == "mark" or before == "cjk") and close != "q"
-    if follows in ("punct", "dash", "lower"):
-        return False
-    if kind == "dots":
-        return follows in ("upper", "open", "other", "cjk")
-    if kind == "mark":
-        return True
-    if before in ("never", "letter", "day"):
-        return False
-    return not (before == "numbered" and follows in ("digit", "ident"))
-
-
-def _features(seen: tuple) -> tuple:
-    kind, before, follows, close, gap, _ = seen
-    return (seen, (kind, follows, gap), (kind, before), (kind, close, follows), (before, follows), ("bias", kind))
+def _features(seen: Seen) -> tuple:
+    """Features of a place: what stands before and after the mark, alone and together."""
+    mark, word, shape, close, opened, gap, follows, after = seen
+    return (
+        ("around", mark, close, gap, follows),
+        ("word", mark, word, gap) if word else ("shape", mark, shape, gap),
+        ("word on", mark, word or shape, gap, follows),
+        ("shape on", mark, shape, gap, follows),
+        ("next", mark, gap, after),
+        ("shape next", mark, shape, after),
+        ("quote", close, opened, gap, follows),
+    )
 
 
 @dataclass
@@ -207,27 +203,43 @@ class Chain:
 
     emit: dict = field(default_factory=dict)
     move: dict = field(default_factory=dict)
+    known: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def ends(self, t: str, start: int, end: int) -> list[int]:
+        """Where the sentences of a block end."""
+        found = places(t, start, end)
+        return sorted({end, *(p for (p, _), tag in zip(found, self.decode_seen([seen for _, seen in found]), strict=True) if tag)})
+
+    def decode_seen(self, seen: Sequence[Seen]) -> list[bool]:
+        """The best tags of places; the weight of a boundary at places of which the same is seen is added up once."""
+        if len(self.known) > 200_000:
+            self.known.clear()
+        weight = []
+        for x in seen:
+            w = self.known.get(x)
+            if w is None:
+                w = self.known[x] = sum(self.emit.get(f, 0.0) for f in _features(x))
+            weight.append(w)
+        return self._best(weight)
 
     def decode(self, seen: Sequence[tuple]) -> list[bool]:
         """The best tags by Viterbi."""
-        if not seen:
+        return self._best([sum(self.emit.get(f, 0.0) for f in fs) for fs in seen])
+
+    def _best(self, weight: Sequence[float]) -> list[bool]:
+        if not weight:
             return []
-        move, back = [[self.move.get((a, b), 0.0) for b in (0, 1)] for a in (0, 1)], []
-        score = [0.0, sum(self.emit.get(f, 0.0) for f in seen[0])]
-        for fs in seen[1:]:
-            e = sum(self.emit.get(f, 0.0) for f in fs)
-            step, new = [], []
-            for b in (0, 1):
-                x, y = score[0] + move[0][b], score[1] + move[1][b]
-                step.append(int(y > x))
-                new.append(max(x, y) + (e if b else 0.0))
-            back.append(step)
-            score = new
-        tag = int(score[1] > score[0])
-        tags = [bool(tag)]
-        for step in reversed(back):
-            tag = step[tag]
-            tags.append(bool(tag))
+        m00, m01, m10, m11 = (self.move.get(k, 0.0) for k in ((0, 0), (0, 1), (1, 0), (1, 1)))
+        back, s0, s1 = [], 0.0, weight[0]
+        for e in weight[1:]:
+            b0, b1 = s1 + m10 > s0 + m00, s1 + m11 > s0 + m01
+            back.append((b0, b1))
+            s0, s1 = (s1 + m10 if b0 else s0 + m00), (s1 + m11 if b1 else s0 + m01) + e
+        tag = s1 > s0
+        tags = [tag]
+        for b in reversed(back):
+            tag = b[tag]
+            tags.append(tag)
         return tags[::-1]
 
     @staticmethod
@@ -264,77 +276,313 @@ class Chain:
         return Chain({k: v for k, v in mean.items() if k not in tags and v}, {k: v for k, v in mean.items() if k in tags})
 
 
-def _around(t: str, i: int) -> tuple:
-    a, b = t[max(0, i - 3) : i], t[i : i + 3]
-    return ("a1", a[-1:]), ("a2", a[-2:]), ("a3", a), ("b1", b[:1]), ("b2", b[:2]), ("b3", b), ("ab", a[-1:] + b[:1]), ("a2b2", a[-2:] + "|" + b[:2])
+@dataclass(frozen=True)
+class Layout:
+    """What the layout tells. telling: least share of a feature's uses, against what is expected, that must be at ends of
+    paragraphs for its other places to count as boundaries; prior: uses that every feature is taken to have there in advance
+    (so a rare feature tells nothing); beginnings: that each end is put before; estimate, rounds, bare_rounds: rounds of the
+    estimate, of the chain and of the chains without marks."""
+
+    telling: float = 0.25
+    prior: float = 2.0
+    beginnings: int = 3
+    estimate: int = 6
+    rounds: int = 10
+    bare_rounds: int = 6
+
+
+def _paragraphs(texts: Sequence[str]) -> list[str]:
+    """The blocks of all texts that are no units of their own."""
+    return [t[s:e].strip() for t in texts for s, e, whole in blocks(t) if not whole]
+
+
+def _script(t: str) -> str:
+    """Script of the first letter: paragraphs of one script are put after each other."""
+    c = next((c for c in t if c.isalpha()), "")
+    return "bare" if _UNBARE.match(c) else unicodedata.name(c, "?").split()[0] if c else ""
+
+
+def laid_out(texts: Sequence[str], rules: Layout) -> list[tuple[list[Seen], list[bool]]]:
+    """Per paragraph: what is seen at its places, and which of them is known for a boundary.
+
+    No annotator and no rule says where a sentence ends. What is known is the layout: a sentence ends where a paragraph
+    does. So each paragraph is put before another one of its script, and the place where they meet is a true boundary
+    with a true beginning behind it.
+    """
+    by_script: dict[str, list[str]] = defaultdict(list)
+    for p in _paragraphs(texts):
+        by_script[_script(p)].append(p)
+    out = []
+    for ps in by_script.values():
+        for i, a in enumerate(ps):
+            for k in range(1, rules.beginnings + 1):
+                b = ps[(i + k) % len(ps)]
+                gap = "" if _CJK.match(a.rstrip(_STOPS + _CLOSE)[-1:] or "?") else " "
+                own = places(a + gap + b, 0, len(a) + len(gap) + len(b))
+                own = [(p, seen) for p, seen in own if p <= len(a)]
+                out.append(([seen for _, seen in own], [p == len(a) for p, _ in own]))
+    return out
+
+
+def weak_labels(known: Sequence[tuple[list[Seen], list[bool]]], rules: Layout) -> list[list[bool]]:
+    """A label for every place, from the known boundaries alone.
+
+    If all places were boundaries, every feature (a word before the mark, a word behind it ...) would be seen at ends of
+    paragraphs about as often, in proportion, as any other. A feature that is common inside paragraphs but not at their ends
+    ("Dr.", a small letter behind the mark, no white space) stands where no sentence ends. A place that one feature
+    explains so is not held against its others. The proportion, the labels and what explains them are estimated in turns.
+    """
+    at_end, inside = Counter(), Counter()
+    for seen, ends in known:
+        for x, e in zip(seen, ends, strict=True):
+            for f in _features(x) if e else ():
+                at_end[f] += 1 / rules.beginnings
+            inside[x] += 0 if e else 1 / rules.beginnings
+    features = {x: _features(x) for x in inside}
+    total = sum(at_end.values()) / len(_features(("",) * 8))
+    told, by = dict.fromkeys(inside, True), dict.fromkeys(inside)
+    for _ in range(rules.estimate):
+        rate = total / max(1, sum(n for x, n in inside.items() if told[x]))
+        held: Counter = Counter()
+        for x, n in inside.items():
+            for f in features[x] if told[x] else (by[x],):
+                held[f] += n
+        for x, fs in features.items():
+            least = {f: (at_end[f] + rules.prior) / (rate * held[f] + rules.prior) for f in fs}
+            by[x] = min(least, key=least.__getitem__)
+            told[x] = least[by[x]] >= rules.telling
+    return [[bool(e) or told[x] for x, e in zip(seen, ends, strict=True)] for seen, ends in known]
+
+
+#: Size of the weight table of characters, a power of two.
+_SLOTS = 1 << 18
+
+
+def _slots(codes: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Slots of the features of every place between two characters, one row per feature.
+
+    codes: code points of a run with three zeros on both sides. wide: for each place a number of what is
+    known of the run as a whole.
+    """
+    c = codes.astype(np.uint64)
+    n = len(codes) - 6
+    a3, a2, a1, b1, b2, b3 = (c[k : k + n - 1] for k in (1, 2, 3, 4, 5, 6)) if n > 1 else (c[:0],) * 6
+    m = lambda k, *xs: _mixed(k, xs)
+    rows = (m(1, a1), m(2, a2, a1), m(3, a3, a2, a1), m(4, b1), m(5, b1, b2), m(6, b1, b2, b3), m(7, a1, b1), m(8, a2, a1, b1, b2), m(9, a1, b1, b2), m(10, a2, a1, b1), m(11, wide.astype(np.uint64)))
+    return np.vstack(rows)
+
+
+def _mixed(kind: int, xs: Sequence[np.ndarray]) -> np.ndarray:
+    h = np.full(len(xs[0]), kind * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+    for x in xs:
+        h = (h ^ x) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+
+
+def _codes(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _fill(letters: int, marks: int) -> int:
+    """How many letters of bare scripts there are to a mark, in steps of half a power of two: text with its marks needs few more cuts."""
+    return int(2 * np.log2(max(1, letters) / (marks + 0.5))) if letters else 0
+
+
+@dataclass
+class Bare:
+    """A chain over all characters of a run, for scripts that may go without marks and spaces: weights of what stands around a
+    place, and of tag after tag."""
+
+    weights: np.ndarray
+    move: np.ndarray
+
+    def emissions(self, run: str, wide: np.ndarray) -> np.ndarray:
+        """Weight of a boundary at every place of a run; wide: see _slots."""
+        z = np.zeros(3, np.uint32)
+        return self.weights[_slots(np.concatenate([z, _codes(run), z]), wide)].sum(axis=0)
+
+    def decode(self, e: np.ndarray) -> np.ndarray:
+        """The best tags by Viterbi, given the weight of a boundary at each place; the run begins and ends at boundaries."""
+        (stay, cut), (after, twice) = self.move.tolist()
+        if not len(e) or e.max() + max(cut, twice) + max(0.0, after) - stay <= 0 and stay >= 0:
+            return np.zeros(len(e), bool)
+        s0, s1, back = after, twice + float(e[0]), []
+        for x in e[1:].tolist():
+            b0, b1 = s1 + after > s0 + stay, s1 + twice > s0 + cut
+            back.append((b0, b1))
+            s0, s1 = (s1 + after if b0 else s0 + stay), (s1 + twice if b1 else s0 + cut) + x
+        tag = s1 > s0
+        tags = [tag]
+        for b in reversed(back):
+            tag = b[int(tag)]
+            tags.append(tag)
+        return np.array(tags[::-1], bool)
+
+    @staticmethod
+    def train(runs: Sequence[tuple[str, int, np.ndarray]], rounds: int) -> Bare:
+        """Averaged structured perceptron. runs: text, what is known of it as a whole, and the true tags."""
+        now, total = np.zeros(_SLOTS), np.zeros(_SLOTS)
+        move, move_total = np.zeros((2, 2)), np.zeros((2, 2))
+        z, t = np.zeros(3, np.uint32), 0
+        slots = [_slots(np.concatenate([z, _codes(r), z]), np.full(max(0, len(r) - 1), wide)) for r, wide, _ in runs]
+        model = Bare(now, move)
+        order = sorted(range(len(runs)), key=lambda i: zlib.crc32(runs[i][0].encode("utf-8", "surrogatepass")))
+        for _ in range(rounds):
+            wrong = 0
+            for i in order:
+                truth, own = runs[i][2], slots[i]
+                if not len(truth):
+                    continue
+                t += 1
+                got = model.decode(now[own].sum(axis=0))
+                off = np.flatnonzero(got != truth)
+                if not len(off):
+                    continue
+                wrong += 1
+                for k in off:
+                    by = 1.0 if truth[k] else -1.0
+                    np.add.at(now, own[:, k], by)
+                    np.add.at(total, own[:, k], by * t)
+                for tags, by in ((truth, 1.0), (got, -1.0)):
+                    x = np.r_[1, tags.astype(int)]
+                    np.add.at(move, (x[:-1], x[1:]), by)
+                    np.add.at(move_total, (x[:-1], x[1:]), by * t)
+            if not wrong:
+                break
+        t += 1
+        mean = move - move_total / t
+        # of equal models the one in which staying costs nothing
+        return Bare((now - total / t).astype(np.float32), mean)
+
+
+def stripped(paragraph: str, ends: Sequence[int], script: str, keep: Sequence[bool]) -> tuple[str, int, np.ndarray]:
+    """(run, what is known of it as a whole, tags): the units of a paragraph that end at ends, put together without the marks and spaces
+    between them; where keep says so a unit keeps its marks, and the run there its truth."""
+    pieces, marks = [], 0
+    for a, b, kept in zip([0, *ends[:-1]], ends, keep, strict=True):
+        p = paragraph[a:b].strip()
+        p = p if kept else p.rstrip(_STOPS + _CLOSE + _ZERO).strip()
+        if p:
+            pieces.append(p)
+            marks += kept
+    run = "".join(pieces)
+    tags = np.zeros(max(0, len(run) - 1), bool)
+    at = np.cumsum([len(p) for p in pieces])[:-1] - 1
+    tags[at.astype(int)] = True
+    return run, _fill(len(_LETTER[script].findall(run)), marks), tags
 
 
 @dataclass
 class Tagger:
-    """marked: the chain over places with marks. bare: by script, a chain over all characters of text without marks."""
+    """marked: the chain over places with marks. bare: by script, the chain over all characters."""
 
     marked: Chain
-    bare: dict[str, Chain]
+    bare: dict[str, Bare]
 
     @staticmethod
-    def train(texts: Sequence[str], long_run: int = _LONG_RUN) -> Tagger:
-        chains, bare = [], defaultdict(list)
-        for t in texts:
-            for s, e, whole in blocks(t):
-                if whole:
+    def train(texts: Sequence[str], rules: Layout | None = None, bare_texts: Sequence[str] = ()) -> Tagger:
+        """bare_texts: more texts in scripts that may go without marks."""
+        rules = rules or Layout()
+        known = laid_out(texts, rules)
+        labels = weak_labels(known, rules)
+        once = zip(known[:: rules.beginnings], labels[:: rules.beginnings], strict=True)
+        marked = Chain.train([([_features(x) for x in seen], truth) for (seen, _), truth in once], rules.rounds)
+        runs: dict[str, list] = defaultdict(list)
+        for p in _paragraphs(sorted({*texts, *bare_texts})):
+            for script, letter in _LETTER.items():
+                if 2 * len(letter.findall(p)) < len(p):
                     continue
-                found = places(t, s, e)
-                if found:
-                    chains.append(([_features(x) for _, x in found], [_known(x) for _, x in found]))
-                for script, run in _BARE.items():
-                    # the same text without its marks: the model learns where they stood
-                    pieces = [p for p in re.split(r"[。！？\s]+", t[s:e]) if p and run.fullmatch(p)]
-                    if len(pieces) > 1:
-                        joined, ends = "".join(pieces), set()
-                        for p in pieces:
-                            ends.add((max(ends) if ends else 0) + len(p))
-                        bare[script].append(([_around(joined, i) for i in range(1, len(joined))], [i in ends for i in range(1, len(joined))]))
-        return Tagger(Chain.train(chains), {k: Chain.train(v[:600], 4) for k, v in bare.items()})
+                ends = marked.ends(p, 0, len(p))
+                runs[script].append(stripped(p, ends, script, [False] * len(ends)))
+                for i in range(len(ends) - 2):  # two and three sentences of it alone
+                    own = p[ends[i - 1] if i else 0 : ends[i + 1 + i % 2]]
+                    runs[script].append(stripped(own, [e - ends[i - 1] if i else e for e in ends[i : i + 2 + i % 2]], script, [False] * (2 + i % 2)))
+                runs[script].append(stripped(p, ends, script, [zlib.crc32(p[a:].encode("utf-8", "surrogatepass")) % 2 == 0 for a in [0, *ends[:-1]]]))
+                wide = _fill(len(letter.findall(p)), len(ends))
+                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                    u = p[a:b].strip()
+                    runs[script].append((u, wide, np.zeros(max(0, len(u) - 1), bool)))
+        return Tagger(marked, {k: Bare.train(v, rules.bare_rounds) for k, v in runs.items()})
 
     def units(self, t: str | None) -> list[tuple[int, int]]:
         """[start, end) of every sentence unit of a text."""
-        out: list[tuple[int, int]] = []
-        if not t:
-            return out
-
-        def put(a: int, b: int) -> None:
-            while a < b and t[a].isspace():
-                a += 1
-            while b > a and t[b - 1].isspace():
-                b -= 1
-            if a < b:
-                out.append((a, b))
-
-        for s, e, whole in blocks(t):
-            if whole:
-                put(s, e)
-                continue
-            found = places(t, s, e)
-            ends = [p for (p, _), tag in zip(found, self.marked.decode([_features(x) for _, x in found]), strict=True) if tag]
-            a = s
-            for b in [*ends, e]:
-                for script, run in _BARE.items():
-                    if script in self.bare and b - a >= _LONG_RUN:
-                        for m in run.finditer(t, a, b):
-                            if len(m[0]) >= _LONG_RUN:
-                                for i, tag in enumerate(self.bare[script].decode([_around(m[0], i) for i in range(1, len(m[0]))]), 1):
-                                    if tag and a < m.start() + i < b:
-                                        put(a, m.start() + i)
-                                        a = m.start() + i
-                put(a, b)
+        return self.units_of([t])[0]
+
+    def units_of(self, texts: Sequence[str | None]) -> list[list[tuple[int, int]]]:
+        """[start, end) of every sentence unit of each text."""
+        parts = [self._marked_parts(t) if t else [] for t in texts]
+        runs: dict[str, list] = defaultdict(list)
+        for t, own in zip(texts, parts, strict=True):
+            for part in own:
+                if not part[2] and _UNBARE.search(t, part[0], part[1][-1]):
+                    for script in self.bare:
+                        runs[script] += self._runs(script, t, part)
+        for script, some in runs.items():
+            self._cut(self.bare[script], some)
+        return [self._put(t, own) for t, own in zip(texts, parts, strict=True)]
+
+    def _marked_parts(self, t: str) -> list[tuple[int, list[int], bool]]:
+        """(start, ends, whole) of every block: its ends by the chain over places with marks, and its own."""
+        return [(s, [e] if whole else self.marked.ends(t, s, e), whole) for s, e, whole in blocks(t)]
+
+    @staticmethod
+    def _runs(script: str, t: str, part: tuple[int, list[int], bool]) -> Iterator[tuple[str, int, int, list[int]]]:
+        """(run, what is known of it as a whole, its place in the text, ends of its block) of every unit that is written in the script."""
+        s, ends, _ = part
+        letter = _LETTER[script]
+        count = len(letter.findall(t, s, ends[-1]))
+        wide = _fill(count, len(ends))
+        for a, b in zip([s, *ends[:-1]], ends, strict=True) if count else ():
+            u = t[a:b].rstrip()
+            lead = len(u) - len(u.lstrip())
+            u = u[lead:]
+            if 2 * len(letter.findall(u)) >= len(u) > 1:
+                yield u, wide, a + lead, ends
+
+    @staticmethod
+    def _cut(model: Bare, runs: Sequence[tuple[str, int, int, list[int]]], most: int = 200_000) -> None:
+        """Adds the boundaries without a mark to the ends of their blocks; weighs about most characters at a time."""
+        at = 0
+        added = []
+        while at < len(runs):
+            some, size = [], 0
+            while at < len(runs) and (not some or size + len(runs[at][0]) < most):
+                some.append(runs[at])
+                size += len(runs[at][0]) + 3
+                at += 1
+            e = model.emissions("\0\0\0".join(r[0] for r in some), np.repeat([r[1] for r in some], [len(r[0]) + 3 for r in some])[:-4])
+            o = 0
+            for run, _, place, ends in some:
+                added.append((ends, place + 1 + np.flatnonzero(model.decode(e[o : o + len(run) - 1]))))
+                o += len(run) + 3
+        for ends, more in added:
+            ends.extend(more.tolist())
+
+    @staticmethod
+    def _put(t: str | None, parts: Sequence[tuple[int, list[int], bool]]) -> list[tuple[int, int]]:
+        out = []
+        for a, ends, _ in parts:
+            for b in sorted(set(ends)):
+                s = t[a:b].rstrip()
+                lead = len(s) - len(s.lstrip())
+                if lead < len(s):
+                    out.append((a + lead, a + len(s)))
                 a = b
         return out
 
 
-def trained(docs: DataFrame, text: str, sample: int = 2_000) -> Tagger:
-    """A tagger trained on ``sample`` texts, chosen by hash over the whole corpus."""
-    h = docs.select(F.col(text).alias("t")).where("t is not null").withColumn("h", F.xxhash64("t")).orderBy("h").limit(sample)
-    return Tagger.train(sorted({r["t"] for r in h.select("t").collect()}))
+def trained(docs: DataFrame, text: str, sample: int = 2_000, bare_sample: int = 600, longest: int = 50_000) -> Tagger:
+    """A tagger trained on ``sample`` texts of at most ``longest`` characters, chosen by hash over the whole corpus, and
+    ``bare_sample`` more of those with words in Thai, Chinese or Japanese.
+
+    The numbers bound what the driver holds; texts are tagged whatever their length.
+    """
+    t = docs.select(F.col(text).alias("t")).where("t is not null").where(F.length("t") <= longest).withColumn("h", F.xxhash64("t"))
+    bare = F.col("t").rlike(f"[{''.join(_BARE.values())}]{{8}}")
+    own = t.orderBy("h").limit(sample).withColumn("more", F.lit(False)).unionByName(t.where(bare).orderBy("h").limit(bare_sample).withColumn("more", F.lit(True)))
+    rows = own.select("t", "more").collect()
+    return Tagger.train(sorted({r["t"] for r in rows if not r["more"]}), bare_texts=sorted({r["t"] for r in rows if r["more"]}))
 
 
 def sentence_units(docs: DataFrame, doc_id: str, text: str, tagger: Tagger) -> DataFrame:
@@ -343,11 +591,12 @@ def sentence_units(docs: DataFrame, doc_id: str, text: str, tagger: Tagger) -> D
     Text is cut at blank lines; headings, list items, table rows, log and
     checksum lines and fenced blocks are single units. In the rest, every place
     where a sentence may end (marks with what closes behind them, spaces between
-    Thai letters) is a position of a linear chain that Viterbi decodes; all other
-    characters are inside. Runs of more than 240 Thai, Chinese or Japanese
-    letters without any mark are cut by a chain over single characters, trained
-    on text whose marks were taken out. Texts are tagged where they are read;
-    nothing is shuffled.
+    Thai letters) is a position of a linear chain that Viterbi decodes, on what
+    stands around the place. Then every character of a unit that is written in
+    Thai, Chinese or Japanese is a position of the chain of its script, which was
+    trained on text whose marks and spaces were taken out and cuts what has
+    none, at any length. Texts are tagged where they are read; nothing is
+    shuffled.
 
     Defined cases: null, empty and blank texts have no units; null ids are kept;
     repeated rows give their units each time; an empty table gives an empty
@@ -358,13 +607,10 @@ def sentence_units(docs: DataFrame, doc_id: str, text: str, tagger: Tagger) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, starts, ends = [], [], []
-            for i, t in enumerate(b.column("t").to_pylist()):
-                for s, e in tagger.units(t):
-                    rows.append(i)
-                    starts.append(s)
-                    ends.append(e)
-            ids = b.column("doc_id").take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "start_char", "end_char"])
+            units = tagger.units_of(b.column("t").to_pylist())
+            n = np.array([len(u) for u in units])
+            bounds = np.array([x for u in units for x in u], np.int64).reshape(-1, 2)
+            ids = b.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(bounds[:, 0]), pa.array(bounds[:, 1])], names=["doc_id", "start_char", "end_char"])
 
     return d.mapInArrow(cut, f"doc_id {kind}, start_char bigint, end_char bigint")
