@@ -22,8 +22,9 @@ REASONS = ("limit", "backwards", "spike", "stuck")
 class Rules:
     """factor: how far a spike leaves the level around it. reach: readings on each side that make the level.
     longest: readings that a spike may last. stuck: identical consecutive readings that count as stuck.
-    trees, sample: of each forest. cutoff: the least score of a spike or stuck reading. season: ms of the cycle
-    of the seasonal feature, cut into phases."""
+    trees, sample: of each forest. near: share of the way (in logarithms) to ``factor`` or ``stuck`` from which on a reading is put
+    to the forest. spike_score, stuck_score: where between a source's usual score and that of readings made implausible on
+    purpose its cutoff lies. season: ms of the cycle of the seasonal feature, cut into phases."""
 
     factor: float = 4.0
     reach: int = 8
@@ -31,7 +32,9 @@ class Rules:
     stuck: int = 12
     trees: int = 24
     sample: int = 256
-    cutoff: float = 0.35
+    near: float = 0.35
+    spike_score: float = 0.75
+    stuck_score: float = 0.9
     season: int = 600_000
     phases: int = 10
     seed: int = 17
@@ -51,18 +54,26 @@ def _usual_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * h - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_scores(seg: np.ndarray, seeds: np.ndarray, x: np.ndarray, train: np.ndarray, rules: Rules) -> np.ndarray:
+def isolation_scores(seg: np.ndarray, seeds: np.ndarray, x: np.ndarray, train: np.ndarray, always: np.ndarray, rules: Rules) -> np.ndarray:
     """Isolation scores in (0, 1) of all rows, one forest per segment, the forests of all segments grown at once.
 
-    seg: segment number of each row; seeds: a number per segment; x: features, one row per feature;
-    train: rows that the trees are grown from (at most rules.sample per segment).
+    seg: segment number of each row; seeds: a number per segment; x: features, one row per feature; train: rows
+    that trees are grown from, a random sample of about rules.sample of them per segment for each tree; always: rows that
+    every tree is grown from besides.
     """
     n, nseg = len(seg), len(seeds)
-    grown = np.bincount(seg[train], minlength=nseg)
-    depth = int(np.ceil(np.log2(max(2, min(rules.sample, grown.max(initial=2))))))
+    share = np.minimum(1.0, rules.sample / np.maximum(np.bincount(seg[train], minlength=nseg), 1))
+    usual = np.bincount(seg[train], minlength=nseg) * share + np.bincount(seg[always], minlength=nseg)
+    depth = int(np.ceil(np.log2(max(2.0, usual.max(initial=2)))))
     rows, total = np.arange(n), np.zeros(n)
     flat = np.ascontiguousarray(x).ravel()
+    all_of_them = bool((share >= 1).all())
     for t in range(rules.trees):
+        own = train
+        if not all_of_them:
+            lot = _mix(seeds[seg[train]] ^ _mix(train.astype(np.uint64) + np.uint64(t << 40)))
+            own = train[(lot >> np.uint64(11)).astype(float) / 2.0**53 < share[seg[train]]]
+        own = np.concatenate([own, always])
         node = seg.astype(np.int64)
         length = np.zeros(n)
         for d in range(depth):
@@ -73,15 +84,15 @@ def isolation_scores(seg: np.ndarray, seeds: np.ndarray, x: np.ndarray, train: n
             frac = (h & np.uint64((1 << 32) - 1)).astype(float) / 2.0**32
             v = flat[feature[node] * n + rows]
             lo, hi = np.full(many, np.inf), np.full(many, -np.inf)
-            np.minimum.at(lo, node[train], v[train])
-            np.maximum.at(hi, node[train], v[train])
+            np.minimum.at(lo, node[own], v[own])
+            np.maximum.at(hi, node[own], v[own])
             splits = hi > lo
             with np.errstate(invalid="ignore"):
                 at = np.where(splits, lo + frac * (hi - lo), np.inf)
             length += splits[node]
             node = node * 2 + (v > at[node])
-        total += length + _usual_path(np.bincount(node[train], minlength=nseg << depth))[node]
-    return np.exp2(-total / rules.trees / np.maximum(_usual_path(grown), 1.0)[seg])
+        total += length + _usual_path(np.bincount(node[own], minlength=nseg << depth))[node]
+    return np.exp2(-total / rules.trees / np.maximum(_usual_path(usual), 1.0)[seg])
 
 
 def _around(v: np.ndarray, seg: np.ndarray, reach: int) -> np.ndarray:
@@ -153,42 +164,73 @@ def _checked(seg: np.ndarray, v: np.ndarray, kind: np.ndarray, before: np.ndarra
     return limit, backwards, off & (length <= rules.longest), ratio
 
 
+def _implausible(rules: Rules) -> np.ndarray:
+    """Features of readings that are implausible by the least measure, one column each: spikes that last and spikes of one
+    reading, up and down, and a stuck reading."""
+    far, long = np.log(rules.factor), np.log(rules.stuck)
+    return np.round([[far, 0, far, 0], [far, far, far, 0], [-far, 0, -far, 0], [-far, -far, -far, 0], [0, 0, 0, long]], 9).T
+
+
+def _features(seg: np.ndarray, t: np.ndarray, ok: np.ndarray, limit: np.ndarray, ratio: np.ndarray, same: np.ndarray, many: int, rules: Rules) -> np.ndarray:
+    """Level, difference, seasonal residual (in logarithms) and run length of each reading, one row each.
+
+    All of them end where a reading counts as implausible, so that one wild reading doesn't hide
+    others. The difference is that to both neighbours, so a reading beside a spike has none.
+    """
+    far = np.log(rules.factor)
+    lv = np.log(np.maximum(ok, 1.0))
+    start, n = np.r_[True, seg[1:] != seg[:-1]], len(seg)
+    end = np.r_[start[1:], True]
+    back, ahead = np.full(n, np.nan), np.full(n, np.nan)
+    back[1:], ahead[:-1] = lv[1:] - lv[:-1], lv[:-1] - lv[1:]
+    back[start], ahead[end] = np.nan, np.nan
+    with np.errstate(invalid="ignore"):
+        both = np.where(back * ahead > 0, np.sign(back) * np.minimum(np.abs(back), np.abs(ahead)), 0.0)
+    phase = seg * rules.phases + (t % rules.season) * rules.phases // rules.season
+    have, m = ~np.isnan(lv), many * rules.phases
+    mean = np.bincount(phase[have], lv[have], m) / np.maximum(np.bincount(phase[have], minlength=m), 1)
+    seasonal = np.where(have, lv - mean[phase], 0.0)
+    x = np.vstack([np.where(limit, -far, ratio), both, seasonal, np.log(same.astype(float))])
+    x[:3] = np.clip(x[:3], -far, far)
+    x[3] = np.minimum(x[3], np.log(rules.stuck))
+    return np.round(x, 9)  # equal readings stay equal, whatever their mean is rounded to
+
+
 def judge(
-    seg: np.ndarray, seeds: np.ndarray, t: np.ndarray, v: np.ndarray, kind: np.ndarray, before: np.ndarray, rules: Rules, after: np.ndarray | None = None, moves: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
+    seg: np.ndarray, seeds: np.ndarray, t: np.ndarray, v: np.ndarray, kind: np.ndarray, before: np.ndarray, rules: Rules,
+    after: np.ndarray | None = None, moves: np.ndarray | None = None, same: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """(score, reasons) of each reading. Rows are by segment and time; before: greatest plausible total of earlier
     shards, or NaN; after: see _marks; moves: of each segment, whether its source has different plausible values in
-    all its shards (default: in this segment)."""
-    n = len(v)
+    all its shards (default: in this segment); same: identical consecutive readings around each (default: in this segment)."""
+    n, many = len(v), len(seeds)
     start = np.r_[True, seg[1:] != seg[:-1]]
-    first = np.flatnonzero(start)
     limit, backwards, spike, ratio = _checked(seg, v, kind, before, rules, after)
     ok = np.where(limit, np.nan, v)
     # identical values; a series that is constant, but for what is wrong in it, is not stuck
-    same = _runs(start | np.r_[True, v[1:] != v[:-1]])
+    changes = start | np.r_[True, v[1:] != v[:-1]]
+    same = _runs(changes) if same is None else same
     good = ~(limit | spike | backwards)
-    usual = _runs(start)
     if moves is None:
-        lo, hi = _span(seg, v, good, len(seeds))
+        lo, hi = _span(seg, v, good, many)
         moves = lo < hi
-    stuck = (kind != TOTAL) & good & (same >= rules.stuck) & moves[seg]
-    # features
-    prev = np.r_[np.nan, ok[:-1]]
-    prev[start] = np.nan
-    step = np.log(np.maximum(ok, 1.0) / np.maximum(prev, 1.0))
-    step = np.where(np.isnan(step), 0.0, step)
-    phase = seg * rules.phases + (t % rules.season) * rules.phases // rules.season
-    lv = np.log(np.maximum(np.where(limit, np.nan, ok), 1.0))
-    have = ~np.isnan(lv)
-    m = len(seeds) * rules.phases
-    mean = np.bincount(phase[have], lv[have], m) / np.maximum(np.bincount(phase[have], minlength=m), 1)
-    seasonal = np.where(have, lv - mean[phase], 0.0)
-    x = np.vstack([np.where(limit, -30.0, ratio), step, seasonal, np.log(same.astype(float))])
-    nth = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
-    every = np.ceil(usual / rules.sample).astype(np.int64)
-    score = isolation_scores(seg, seeds, x, np.flatnonzero(nth % every == 0), rules)
-    likely = score >= rules.cutoff
-    reasons = LIMIT * limit + BACKWARDS * backwards + SPIKE * (spike & likely) + STUCK * (stuck & likely)
+    # the forest: grown from a reading of each run (a long run would hide itself) and readings made implausible on purpose
+    wrong = _implausible(rules)
+    each = wrong.shape[1]
+    x = np.hstack([_features(seg, t, ok, limit, ratio, same, many, rules), np.repeat(wrong, many, axis=1)])
+    score = isolation_scores(np.r_[seg, np.tile(np.arange(many), each)], seeds, x, np.flatnonzero(changes), n + np.arange(many * each), rules)
+    made, score = score[n:].reshape(each, many), score[:n]
+    runs, by = np.bincount(seg[changes], minlength=many), np.lexsort((score[changes], seg[changes]))
+    usual = score[changes][by][np.cumsum(runs) - runs + runs // 2]  # a long run counts once here as well
+    cut = lambda least, share: (usual + share * (least - usual))[seg] - 1e-9
+    # what is put to the forest: readings off their level for a while, and runs of identical ones
+    with np.errstate(invalid="ignore"):
+        near = ~limit & (kind != TOTAL) & (np.where(kind == LEVEL, np.abs(ratio), ratio) >= rules.near * np.log(rules.factor))
+    near &= _runs(start | np.r_[True, near[1:] != near[:-1]]) <= rules.longest
+    above, below = made[:2].min(axis=0), made[2:4].min(axis=0)
+    spike = near & (score >= np.where(ratio > 0, cut(above, rules.spike_score), cut(below, rules.spike_score)))
+    stuck = ~limit & ~spike & (kind != TOTAL) & moves[seg] & (np.log(same) >= rules.near * np.log(rules.stuck)) & (score >= cut(made[4], rules.stuck_score))
+    reasons = LIMIT * limit + BACKWARDS * backwards + SPIKE * spike + STUCK * stuck
     return score, reasons.astype(np.int32)
 
 
@@ -206,22 +248,28 @@ def flag_readings(
     """Every reading with its isolation score and the reasons why it is implausible.
 
     Result: the source columns, ``time``, ``value``, ``score`` double and
-    ``reasons`` array<string> (empty: plausible). Reasons: ``limit`` (negative or
-    infinite), ``backwards`` (a total below an earlier plausible one), ``spike``
-    (for at most ``rules.longest`` readings off the level around it by
-    ``rules.factor``), ``stuck`` (``rules.stuck`` or more identical consecutive
-    readings of a source that otherwise moves). ``kind`` says what a source is:
-    ``total`` (never falls), ``level`` (spikes in either direction), ``upward``
-    (spikes upwards only).
-
-    A forest is grown per source and time shard from at most ``rules.sample``
-    of its readings and scores all of them; a spike or stuck reading must reach
-    ``rules.cutoff`` and pass its explicit check. Readings are shuffled once,
-    by source and time shard; those within ``halo`` of a shard's border also go
-    to the neighbour. The greatest mark among the totals of earlier shards is
-    carried over, as judged with the readings that follow in later ones, so a
-    source that holds a third of all rows spreads over many tasks and its totals
-    see no cut; whether a source otherwise moves is judged over all its shards. Python holds about a hundred thousand readings at a time.
+    ``reasons`` array<string> (empty: plausible). ``limit`` (negative or
+    infinite) and ``backwards`` (a total below an earlier plausible one) are
+    explicit rules. ``spike`` (for at most ``rules.longest`` readings far off the
+    level around it) and ``stuck`` (many identical consecutive readings of a
+    source that otherwise moves) are what the forest says. ``kind`` says what a
+    source is: ``total`` (never falls), ``level`` (spikes in either direction),
+    ``upward`` (spikes upwards only).
+
+    A forest is grown per source and time shard, every tree from its own random
+    sample of about ``rules.sample`` readings and from a few that are made
+    implausible on purpose: at ``rules.factor`` times the level, and in a run of
+    ``rules.stuck``. It scores all readings. The cutoff of a source lies between
+    its usual score and that of the made ones; readings on the way to either
+    measure (``rules.near``) are flagged when they reach it.
+
+    Readings are shuffled once, by source and time shard; those within ``halo``
+    of a shard's border also go to the neighbour. What a shard has to know of the
+    others is carried over: the greatest mark among the totals of earlier shards,
+    as judged with the readings that follow in later ones; the length of the run
+    of identical readings at each border; and whether the source otherwise
+    moves. So a source that holds a third of all rows spreads over many tasks
+    and sees no cut. Python holds about a hundred thousand readings at a time.
 
     Defined cases: rows with a null time or a null or NaN value are no
     readings; rows of one source and time count once, the greatest ``order``
@@ -244,7 +292,7 @@ def flag_readings(
     s = s.select("_k", "_s", "_t", "_x._v", "_x._kind")
     s = s.select("*", F.xxhash64("_k", "_s").alias("_h"), F.hash("_k", "_s").alias("_h2"))
     k = "_k " + s.schema["_k"].dataType.simpleString()
-    sums = s.sortWithinPartitions("_h", "_h2", "_t").mapInArrow(_by_segment(_summed(rules, shard)), f"{k}, _s bigint, _top double, _head array<double>, _tail array<double>, _lo double, _hi double")
+    sums = s.sortWithinPartitions("_h", "_h2", "_t").mapInArrow(_by_segment(_summed(rules, shard)), f"{k}, _s bigint, _top double, _head array<double>, _tail array<double>, _lo double, _hi double, _n bigint, _first double, _first_run bigint, _last double, _last_run bigint")
     # a row per source and shard: what one shard has to know of the others
     order_s = Window.partitionBy("_k").orderBy("_s")
     sums = sums.withColumn("_next", F.slice(F.flatten(F.collect_list("_head").over(order_s.rowsBetween(1, AHEAD))), 1, AHEAD))
@@ -252,7 +300,8 @@ def flag_readings(
     sums = sums.withColumn("_top", F.greatest("_top", F.array_max(F.expr(sound))))
     whole = order_s.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sums = sums.withColumn("_moves", F.coalesce(F.min("_lo").over(whole) < F.max("_hi").over(whole), F.lit(False)))
-    sums = sums.select("_k", "_s", "_next", "_moves", F.max("_top").over(order_s.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    sums = _with_runs(sums, "_k", "_s")
+    sums = sums.select("_k", "_s", "_next", "_moves", "_left", "_right", F.max("_top").over(order_s.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     s = s.join(sums, ["_k", "_s"], "left").sortWithinPartitions("_h", "_h2", "_t")
     out = s.mapInArrow(_by_segment(_judged(rules, shard)), f"{k}, _t bigint, _v double, _score double, _r int")
     bits = [F.when(F.col("_r").bitwiseAND(1 << i) > 0, F.lit(name)) for i, name in enumerate(REASONS)]
@@ -265,6 +314,18 @@ def flag_readings(
     )
 
 
+def _with_runs(sums: DataFrame, source: str, shard: str) -> DataFrame:
+    """sums with ``_left`` and ``_right``: identical consecutive readings that lead up to a shard's first and go on after its last reading."""
+    for near, near_run, far, far_run, way, out in (("_first", "_first_run", "_last", "_last_run", F.asc, "_left"), ("_last", "_last_run", "_first", "_first_run", F.desc, "_right")):
+        w = Window.partitionBy(source).orderBy(way(shard))
+        # shards of one value that go on with the run before them belong to one group
+        joins = F.coalesce(F.col(near) == F.lag(far).over(w), F.lit(False))
+        sums = sums.withColumn("_joins", joins).withColumn("_group", F.sum((~(F.col("_joins") & (F.col(near_run) == F.col("_n")))).cast("int")).over(w))
+        sums = sums.withColumn("_so_far", F.sum(far_run).over(Window.partitionBy(source, "_group").orderBy(way(shard))))
+        sums = sums.withColumn(out, F.when(F.col("_joins"), F.lag("_so_far").over(w)).otherwise(0)).drop("_joins", "_group", "_so_far")
+    return sums
+
+
 def _by_segment(told: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], hold: int = 100_000):
     """told(rows, first row of each segment, segment of each row) over whole segments, about hold rows at a time."""
 
@@ -305,7 +366,7 @@ def _own(t: pa.Table, shard: int) -> np.ndarray:
 
 def _summed(rules: Rules, shard: int):
     """A row per segment with readings of its own: of totals the greatest mark but for the last AHEAD readings, the first and
-    the last ones, of other sources the least and greatest plausible reading."""
+    the last ones, of other sources the least and greatest plausible reading; of all, the runs of identical readings at its ends."""
 
     def told(t: pa.Table, first: np.ndarray, seg: np.ndarray) -> pa.Table:
         own, v, kind = _own(t, shard), t["_v"].to_numpy(), t["_kind"].to_numpy()
@@ -317,13 +378,15 @@ def _summed(rules: Rules, shard: int):
         mark = _marks(seg, np.where(total & (v >= 0) & np.isfinite(v), v, np.nan))
         mark[np.arange(len(v)) >= np.repeat(end - AHEAD, count)] = -np.inf
         top = np.maximum.reduceat(mark, start) if len(start) else mark
+        run = _runs(np.r_[True, (v[1:] != v[:-1]) | (seg[1:] != seg[:-1])]) if len(v) else seg
+        ends = {"_n": count, "_first": v[start], "_first_run": run[start], "_last": v[end - 1], "_last_run": run[end - 1]}
         v = np.where(total, v, np.nan)
         few = lambda at, to: pa.array([v[a:b] if total[a] else [] for a, b in zip(at, to, strict=True)], pa.list_(pa.float64()))
         row = pa.array(first[kept])
         return pa.table({
             "_k": t["_k"].take(row), "_s": t["_s"].take(row), "_top": pa.array(top, pa.float64(), mask=np.isinf(top)),
             "_head": few(start, np.minimum(start + AHEAD, end)), "_tail": few(np.maximum(start, end - AHEAD), end),
-            "_lo": pa.array(lo[kept], pa.float64(), mask=np.isinf(lo[kept])), "_hi": pa.array(hi[kept], pa.float64(), mask=np.isinf(hi[kept])),
+            "_lo": pa.array(lo[kept], pa.float64(), mask=np.isinf(lo[kept])), "_hi": pa.array(hi[kept], pa.float64(), mask=np.isinf(hi[kept])), **ends,
         })
 
     return told
@@ -344,7 +407,16 @@ def _judged(rules: Rules, shard: int):
         after[(after < 0) | np.isinf(after)] = np.nan
         # a segment whose source has a row in no shard of its own is all halo and told nothing
         moves = np.array(t["_moves"].take(pa.array(first)).fill_null(False).to_pylist(), bool)
-        score, reasons = judge(seg, seeds, when, v, t["_kind"].to_numpy(), before, rules, after, moves)
+        run = np.cumsum(np.r_[True, (v[1:] != v[:-1]) | (seg[1:] != seg[:-1])]) - 1
+        length, at = np.bincount(run), np.flatnonzero(own)
+        if len(at):  # of the runs at a shard's borders, what lies beyond the halo counts as well
+            begin = np.r_[0, np.flatnonzero(run[1:] != run[:-1]) + 1]
+            new = np.r_[True, seg[at][1:] != seg[at][:-1]]
+            a, b = at[new], at[np.r_[new[1:], True]]
+            more = lambda i, c: t[c].take(pa.array(i)).fill_null(0).to_numpy()
+            np.add.at(length, run[a], np.maximum(0, more(a, "_left") - (a - begin[run[a]])))
+            np.add.at(length, run[b], np.maximum(0, more(b, "_right") - (begin[run[b]] + np.bincount(run)[run[b]] - 1 - b)))
+        score, reasons = judge(seg, seeds, when, v, t["_kind"].to_numpy(), before, rules, after, moves, length[run])
         done = pa.table({"_k": t["_k"], "_t": t["_t"], "_v": t["_v"], "_score": score, "_r": pa.array(reasons, pa.int32())})
         return done.filter(pa.array(own))
 

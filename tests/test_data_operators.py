@@ -244,6 +244,23 @@ def test_a_source_that_moved_days_before_is_stuck(spark):
     assert [x for x in flags(spark, constant, shard=100_000, halo=30_000) if x] == ["spike", "limit"]
 
 
+def test_a_run_over_many_shards_counts_as_one(spark):
+    """Runs of too few readings in each shard are stuck together; a long stretch of shards in one value keeps its length to both sides."""
+    s = noisy(43) + [104.0] * 14 + noisy(43, seed=4)
+    whole = flags(spark, s)
+    assert [i for i, x in enumerate(whole) if x] == list(range(43, 57)) and flags(spark, s, shard=10_000, halo=2_000) == whole
+
+
+def test_the_forest_decides(spark):
+    """Of readings that the explicit checks let through, the cutoffs made from implausible readings keep some and drop others."""
+    s = noisy(120)
+    s[60] = 2_000.0
+    s[100:104] = [101.0] * 4
+    assert [i for i, x in enumerate(flags(spark, s)) if x] == [60]
+    none = Rules(spike_score=-9.0, stuck_score=-9.0)
+    assert [i for i, x in enumerate(flags(spark, s, rules=none)) if x] == [60, 100, 101, 102, 103]
+
+
 def test_flags_empty_null_and_repeated(spark):
     df = spark.createDataFrame([(None, 1, 5.0, 1), (None, 1, -5.0, 2), (None, None, 5.0, 1), ("a", 1, None, 1)], "source string, t bigint, v double, o bigint")
     out = flag_readings(df, ["source"], "t", "v", F.lit(None).cast("string"), "o").collect()
