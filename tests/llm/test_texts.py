@@ -98,6 +98,18 @@ def test_leaks_of_one_template_are_told_apart(spark):
     assert found(spark, docs, items) == want and found(spark, docs, items, block=2) == want
 
 
+@pytest.mark.parametrize("held", [1, 5, 10])
+def test_a_passage_under_many_ids(spark, held):
+    """One passage under several item ids is found under all of them, copied whole or in a very long document that repeats its seeds."""
+    long = "in written note: " + " ".join("the Ophvor cluster and that x" for _ in range(3_000))
+    want = {(0, i) for i in range(held)} | {(1, i) for i in range(held)}
+    assert found(spark, ["Before. " + ITEM + " After.", long + " " + ITEM + " " + long, long], [ITEM] * held + [OTHER]) == want
+
+
+def test_tokens_fold_typography():
+    assert L.tokens("<b>Ｎaïve</b>&nbsp;“CAFÉ”…\u200b раth 数据 don’t") == ["naive", "cafe", "path", "数", "据", "dont"]
+
+
 def test_alignment_by_brute_force():
     rng = np.random.default_rng(0)
     r = L.Passages()
