@@ -13,7 +13,7 @@ from .leaks import leaked
 from .percentiles import RANK_ERROR, answer_percentiles, merge_percentiles, partial_percentiles
 from .sentences import sentence_units, trained
 from .together import log_likelihood_ratio, pairs_together, with_counts
-from .tokens import encode_texts, read_ranks
+from .tokens import decode_ids, encode_texts, read_ranks
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -81,6 +81,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text", _ranks())
 
 
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, put together from their ids."""
+    return decode_ids(p8_ids(spark, d), "doc_id", "ids", _ranks())
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
@@ -90,7 +95,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(docs, "doc_id", "text", trained(docs, "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p2_found, p2_pairs, p4_found, p4_labels, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p2_found, p2_pairs, p4_found, p4_labels, p8_ids, p8_text, p9_found, p10_found)}
 
 _COUNTS = """
 WITH r AS (SELECT DISTINCT userId AS u, movieId AS i FROM ratings WHERE userId IS NOT NULL AND movieId IS NOT NULL),
@@ -107,6 +112,7 @@ ORACLES = {
 SELECT g.name, g.operator_id, p.p, true AS within
 FROM (SELECT DISTINCT name, operator_id FROM metrics WHERE value IS NOT NULL AND NOT isnan(value)) g
 CROSS JOIN (SELECT unnest({list(PS)})::DOUBLE AS p) p""",
+    "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": _COUNTS + "SELECT movie_a, movie_b FROM x WHERE n_ab >= 10 AND n_ab * n >= 6 * n_a * n_b",
     "p2_pairs": _COUNTS + f"SELECT movie_a, movie_b, n_ab, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 6) AS llr FROM x",
 }

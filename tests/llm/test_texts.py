@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -36,7 +37,8 @@ def test_ids_equal_the_public_tokenizer(spark, ranks):
     df = spark.createDataFrame(rows + rows[:5], "doc_id int, text string, word string")
     out = encode_texts(df, "doc_id", "text", ranks)
     got = {r["doc_id"]: r["ids"] for r in out.collect()}
-    assert out.count() == len(HARD)
+    assert out.count() == len(HARD) + 5
+    assert {r["doc_id"]: r["ids"] for r in encode_texts(df, "doc_id", "text", ranks, chunk=64).collect()} == got
     for i, t in enumerate(HARD):
         assert got[i] == (tk.encode(t, add_special_tokens=False).ids if t else []), repr(t)
     back = {r["doc_id"]: r["text"] for r in decode_ids(out, "doc_id", "ids", ranks).collect()}
@@ -49,6 +51,29 @@ def test_ids_edges(spark, ranks):
     assert encode_texts(df.limit(0), "k", "t", ranks).count() == 0
 
 
+def test_long_words(spark, ranks):
+    """Runs that no cut divides: as the public tokenizer has them, and not slower than in proportion to their length."""
+    import tiktoken
+
+    public = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "a", "xyyyy") for n in (33, 64, 65, 700, 3_000)]
+    texts += ["не" * 200, "ताा" * 150, "จะะ" * 120]
+    out = encode_texts(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t", ranks)
+    got = {r["i"]: r["ids"] for r in out.collect()}
+    for i, t in enumerate(texts):
+        if t.isascii():
+            assert got[i] == public.encode_ordinary(t), t[:40]
+    assert all(r["text"] == texts[r["i"]] for r in decode_ids(out, "i", "ids", ranks).collect())
+    times = []
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([(0, "".join(rng.choice("etaoinshrdlu") for _ in range(n)))], "i int, t string")
+        began = time.time()
+        assert len(encode_texts(df, "i", "t", ranks).collect()[0]["ids"]) > n / 8
+        times.append(time.time() - began)
+    assert times[1] < 8 * times[0]
+
+
 ITEM = "Suppose that Ophbal runs 902 copies of rath.dor() on the Ophvor cluster and that the monotone minibatch of copy 504,458 validates its session window when Dixolasha deletes 30 keys behind ner_ner_21."
 OTHER = "Suppose that Tastas runs 73 copies of mursha.py on the Ulequa cluster and that the bounded tumbling window of copy 42 rewrites its license check if Eldqua finds a null beside silurs_32."
 THIRD = "Suppose that Melwex runs 12 copies of gan.tal on the Britov cluster and that the sparse primary key of copy 7 splits its latency probe until Hesklom confirms offset 5 in writing."
