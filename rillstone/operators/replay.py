@@ -21,7 +21,7 @@ def apply_changes(
 ) -> DataFrame:
     """The table as it stands after the last change, by newest-first resolution.
 
-    The feed is cut into ``batches`` spans of ``time``. They are processed
+    The feed is cut into ``batches`` spans of ``time`` by approximate quantiles. They are processed
     backwards: within a batch each key is reduced to its newest change (partial
     aggregation before the shuffle, so a key that changes very often costs one
     row a task), keys that a newer batch has resolved are removed by an
@@ -48,11 +48,9 @@ def apply_changes(
         F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(vs)]).alias("_v"),
         F.col(diff).alias("_d"),
     ).where("_d is not null and _d <> 0").drop("_d")
-    lo, hi = f.agg(F.min("_t"), F.max("_t")).first()
-    if lo is None:
-        cuts: list[int] = []
-    else:
-        cuts = sorted({lo + (hi - lo) * i // batches for i in range(1, batches)} - {lo})
+    # spans of about as many changes each, however the times lie
+    at = f.agg(F.percentile_approx("_t", [i / batches for i in range(1, batches)], 1_000), F.min("_t")).first() if batches > 1 else (None, None)
+    cuts = sorted(set(at[0] or []) - {at[1]})
     # newest span first; the oldest also takes null times
     edges = [None, *cuts, None]
     resolved: DataFrame | None = None

@@ -29,11 +29,13 @@ def pivot_blocks(
 ) -> DataFrame:
     """One row per entity with a column per attribute, by column-block pivoting.
 
-    The rows are hashed by entity once. The attributes are cut into blocks of
-    ``block``; each block is pivoted from its own rows alone on that same
-    hashing, and the blocks are joined without a further shuffle, so thousands
-    of attributes never make one aggregation of thousands of buffers. The first
-    block sees every row and so keeps every entity.
+    The rows are hashed by entity, once: one scan and one exchange whatever the
+    number of attributes. The attributes are cut into blocks of ``block``. On that
+    hashing every cell gets its reading, every block of an entity is pivoted into
+    an array of its cells, and the blocks of an entity are put side by side, none
+    of which moves a row again; so thousands of attributes never make one
+    aggregation of thousands of buffers, but one of ``block`` and one of as many
+    as there are blocks.
 
     Result: the entity columns, then a column per attribute (``names`` gives
     its name, ``types`` its type, double otherwise) and ``unfit``
@@ -52,21 +54,27 @@ def pivot_blocks(
     out_names = ent + [names.get(a, a) for a in atts] + ["unfit"]
     if len({c.lower() for c in out_names}) != len(out_names):
         raise ValueError("result columns would share a name; give names for the attributes")
+    spark = df.sparkSession
+    usable = F.col("_v").isNotNull() & ~F.isnan("_v")
     base = df.select(
         F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(ent)]).alias("_e"),
         F.col(attribute).alias("_a"),
         F.col(value).cast("double").alias("_v"),
         (F.col(order) if order else F.lit(0)).alias("_o"),
-    ).repartition("_e")
-    usable = F.col("_v").isNotNull() & ~F.isnan("_v")
-    wide: DataFrame | None = None
-    for at in range(0, max(1, len(atts)), block):
-        own = atts[at : at + block]
-        rows = base if wide is None else base.where(F.col("_a").isin(own))
-        aggs = [F.max(F.when(usable & (F.col("_a") == a), F.struct("_o", "_v"))).getField("_v").alias(f"c{at + i}") for i, a in enumerate(own)]
-        part = rows.groupBy("_e").agg(*(aggs or [F.count(F.lit(1)).alias("_none")]))
-        wide = part if wide is None else wide.join(part, "_e", "left")
-    assert wide is not None
+    )
+    # attributes become columns, so their number is bounded
+    index = spark.createDataFrame(list(zip(atts, range(len(atts)))), "_a string, _i int")
+    base = base.join(F.broadcast(index), "_a", "left").repartition("_e")
+    best = base.groupBy("_e", "_i").agg(F.max(F.when(usable, F.struct("_o", "_v"))).getField("_v").alias("_v"))
+    width, blocks = min(block, len(atts)), -(-len(atts) // block)
+    own = [F.max(F.when(F.col("_i") % block == j, F.col("_v"))).alias(f"p{j}") for j in range(width)]
+    if blocks > 1:
+        parts = best.groupBy("_e", F.floor(F.col("_i") / block).alias("_b")).agg(*own)
+        parts = parts.select("_e", "_b", F.array(*[f"p{j}" for j in range(width)]).alias("_p"))
+        wide = parts.groupBy("_e").agg(*[F.first(F.when(F.col("_b") == b, F.col("_p")), ignorenulls=True).alias(f"b{b}") for b in range(blocks)])
+        wide = wide.select("_e", *[F.col(f"b{i // block}")[i % block].alias(f"c{i}") for i in range(len(atts))])
+    else:
+        wide = best.groupBy("_e").agg(*(own or [F.count(F.lit(1)).alias("_none")])).withColumnsRenamed({f"p{j}": f"c{j}" for j in range(width)})
     cells, unfit = [], []
     for i, a in enumerate(atts):
         c, t = F.col(f"c{i}"), types.get(a, "double")

@@ -100,14 +100,12 @@ def test_pivot_blocks_equal_one_block(spark):
         assert {n: r[n] for n in names if r[n] is not None} == {n: v for n, (_, v) in want[r["e"], r["f"]].items()}
 
 
-def test_pivot_needs_no_further_shuffle(spark):
-    df = spark.createDataFrame([(1, "x", "a0", 1.0, 1, "z")], EAV)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = pivot_blocks(df, ["e", "f"], "a", "v", [f"a{i}" for i in range(6)], "o", block=2)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL")
+@pytest.mark.parametrize("count", [3, 130, 640])
+def test_pivot_scans_and_shuffles_once(spark, sf, count):
+    """One scan and one exchange, whatever the number of blocks."""
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("a", F.concat(F.lit("a"), F.col("l_partkey") % count))
+    plan = pivot_blocks(df, ["l_suppkey"], "a", "l_quantity", [f"a{i}" for i in range(count)], "l_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "SortMergeJoin" not in plan
 
 
 def test_pivot_types_and_clashes(spark):
@@ -251,6 +249,14 @@ def test_a_run_over_many_shards_counts_as_one(spark):
     assert [i for i, x in enumerate(whole) if x] == list(range(43, 57)) and flags(spark, s, shard=10_000, halo=2_000) == whole
 
 
+def test_changes_with_a_clock_far_off(spark):
+    """One change far from all others doesn't put the rest into one batch, nor change the table."""
+    rows = [(i % 7, f"v{i}", 10 * i, 1) for i in range(70)] + [(99, "late", 10**15, 1)]
+    df = spark.createDataFrame(rows, "k int, v string, time bigint, diff int")
+    got = {(r["k"], r["v"]) for r in apply_changes(df, ["k"], ["v"], "time", "diff").collect()}
+    assert got == {(i % 7, f"v{i}") for i in range(63, 70)} | {(99, "late")}
+
+
 def test_the_forest_decides(spark):
     """Of readings that the explicit checks let through, the cutoffs made from implausible readings keep some and drop others."""
     s = noisy(120)
