@@ -44,11 +44,18 @@ def p1_within_bound(spark: SparkSession, d: str) -> DataFrame:
     return r.select("g", F.explode(good).alias("x")).select("g.name", "g.operator_id", "x.p", "x.within")
 
 
+def p1_small_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The answers for groups that a sketch holds whole, which are exact."""
+    m = table(spark, d, "metrics").where("value is not null and not isnan(value)")
+    small = m.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= 1_000).select(F.struct(*GROUP).alias("g"))
+    return p1_percentiles(spark, d).withColumn("g", F.struct(*GROUP)).join(small, "g", "left_semi").drop("g")
+
+
 def _pairs(spark: SparkSession, d: str, least: int) -> DataFrame:
     rated = table(spark, d, "ratings")
-    users = rated.where("userId is not null and movieId is not null").select("userId").distinct().count()
+    users = rated.where("userId is not null and movieId is not null").agg(F.count_distinct("userId").alias("n"))
     pairs, titles = pairs_together(rated, "userId", "movieId", least)
-    return with_counts(pairs, titles).withColumn("n", F.lit(users).cast("bigint"))
+    return with_counts(pairs, titles).crossJoin(F.broadcast(users))  # of one row
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +67,8 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d, 10).where("n_ab * n >= 6 * n_a * n_b")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products of counts are beyond a bigint from a billion users
+    p = _pairs(spark, d, 10).where(wide("n_ab") * wide("n") >= 6 * (wide("n_a") * wide("n_b")))
     return p.select(F.col("a").alias("movie_a"), F.col("b").alias("movie_b"))
 
 
@@ -95,7 +103,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(docs, "doc_id", "text", trained(docs, "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p2_found, p2_pairs, p4_found, p4_labels, p8_ids, p8_text, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_within_bound, p1_small_groups, p2_found, p2_pairs, p4_found, p4_labels, p8_ids, p8_text, p9_found, p10_found)}
 
 _COUNTS = """
 WITH r AS (SELECT DISTINCT userId AS u, movieId AS i FROM ratings WHERE userId IS NOT NULL AND movieId IS NOT NULL),
@@ -112,6 +120,9 @@ ORACLES = {
 SELECT g.name, g.operator_id, p.p, true AS within
 FROM (SELECT DISTINCT name, operator_id FROM metrics WHERE value IS NOT NULL AND NOT isnan(value)) g
 CROSS JOIN (SELECT unnest({list(PS)})::DOUBLE AS p) p""",
+    "p1_small_groups": "SELECT name, operator_id, count(*) AS n, "
+    + ", ".join(f"quantile_disc(value, {p}) AS p{100 * p:g}" for p in PS)
+    + " FROM metrics WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY name, operator_id HAVING count(*) <= 1000",
     "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": _COUNTS + "SELECT movie_a, movie_b FROM x WHERE n_ab >= 10 AND n_ab * n >= 6 * n_a * n_b",
     "p2_pairs": _COUNTS + f"SELECT movie_a, movie_b, n_ab, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 6) AS llr FROM x",

@@ -130,7 +130,9 @@ def pairs_together(df: DataFrame, basket: str, item: str, least: int = 1) -> tup
     parts = cut.groupBy("u", "chunk").agg(F.collect_list("i").alias("left"), F.first("chunks").alias("chunks"))
     whole = parts.select("left", F.array().cast("array<bigint>").alias("right"))
     l, r = parts.where("chunks is not null").alias("l"), parts.where("chunks is not null").alias("r")
-    across = l.join(r, (F.col("l.u") == F.col("r.u")) & (F.col("l.chunk") < F.col("r.chunk"))).select("l.left", F.col("r.left").alias("right"))
+    across = l.join(r, (F.col("l.u") == F.col("r.u")) & (F.col("l.chunk") < F.col("r.chunk"))).select("l.left", F.col("r.left").alias("right"), F.hash("l.u", "l.chunk", "r.chunk").alias("cell"))
+    # the cells of one busy basket are counted in as many tasks as there are
+    across = across.repartition("cell").drop("cell")
     stripes = whole.unionByName(across).mapInArrow(_to_stripes, "item bigint, piece int, neighbours array<bigint>, counts array<bigint>")
     met = stripes.repartition("item", "piece").sortWithinPartitions("item", "piece")
     pairs = met.mapInArrow(_merged(least), "a bigint, b bigint, n_ab bigint")
