@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,10 +262,16 @@ def theta_join(spark, d):
     return joins.join(T(spark, d, "supplier"), T(spark, d, "nation")).where("s_nationkey > n_nationkey and s_acctbal > 0").select("s_suppkey", "n_name")
 
 
-@query("SELECT o_orderkey, 5.0 AS apx_value FROM orders")
+@query("""
+SELECT v, 2.0::DOUBLE AS least, 2.0::DOUBLE AS greatest, 0.0::DOUBLE AS share, count(*) AS n FROM orders, (SELECT 2.0::DOUBLE AS v) GROUP BY v UNION ALL
+SELECT v, 2.0, 12.0, 0.3, count(*) FROM orders, (SELECT 5.0::DOUBLE AS v) GROUP BY v UNION ALL
+SELECT v, 12.0, 12.0, 1.0, count(*) FROM orders, (SELECT 12.0::DOUBLE AS v) GROUP BY v""")
 def gradual_broadcast(spark, d):
-    one = spark.createDataFrame([(5.0, 5.0, 5.0)], "lo double, v double, hi double")
-    return joins.gradual_broadcast(T(spark, d, "orders").select("o_orderkey"), one, "lo", "v", "hi")
+    """Between 2 and 12: all rows see the lower bound at 2, a share of three tenths the upper one at 5, all at 12."""
+    o = T(spark, d, "orders").select("o_orderkey")
+    seen = [joins.gradual_broadcast(o, spark.createDataFrame([(2.0, v, 12.0)], "lo double, v double, hi double"), "lo", "v", "hi").withColumn("v", F.lit(v)) for v in (2.0, 5.0, 12.0)]
+    share = F.round(F.avg((F.col("apx_value") == 12.0).cast("double")), 1)
+    return reduce(DataFrame.unionByName, seen).groupBy("v").agg(F.min("apx_value").alias("least"), F.max("apx_value").alias("greatest"), share.alias("share"), F.count(F.lit(1)).alias("n"))
 
 
 def _keyed(spark, d):
