@@ -134,7 +134,7 @@ def deduplicate(df: DataFrame, instance: Sequence[str], value: str, order: Seque
         key, best = None, None
         for f in frames:
             for r in f.itertuples(index=False):
-                k = tuple("∅" if pd.isna(getattr(r, c)) else getattr(r, c) for c in instance)
+                k = tuple(None if pd.isna(x := getattr(r, c)) else x for c in instance)
                 if k != key:
                     if best is not None:
                         yield pd.DataFrame([best])[cols]

@@ -239,3 +239,12 @@ def test_fuzzy_matches_of_many_rows_by_brute_force(spark):
     assert got(Z.fuzzy_self_match(df(texts), "i", "t", features=Z.letters)) == want and len(want) > 5
     m = _brute_pairs(texts, other, False)
     assert got(Z.fuzzy_match(df(texts), df(other), "i", "t", "i", "t", features=Z.letters)) == best(m, lambda p: (m[p], -p[1], -p[0]))
+
+
+def test_deduplicate_keeps_null_keys_apart(spark):
+    """A null instance is one of its own, whatever texts others have."""
+    from rillstone.streaming.changes import deduplicate
+
+    df = spark.createDataFrame([(None, 1, 1), ("∅", 5, 2), (None, 4, 3), ("∅", 2, 4), ("None", 3, 5)], "k string, v int, t int")
+    got = deduplicate(df, ["k"], "v", ["t"], lambda new, old: new > old).collect()
+    assert sorted((str(r["k"]) + "!" * (r["k"] is None), r["v"]) for r in got) == [("None", 3), ("None!", 4), ("∅", 5)]
