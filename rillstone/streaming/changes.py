@@ -92,17 +92,43 @@ def ignore_late(df: DataFrame, threshold: Column, time: str, instance: Sequence[
     return _with_clock(df, time, instance).where(F.col("_now").isNull() | (F.col("_now") < threshold)).drop("_now")
 
 
+#: A threshold is looked up within one of so many cells of about equal size.
+_CELLS = 1024
+
+
+def _cell(value: str, bounds: str) -> Column:
+    """How many of the _CELLS - 1 ascending bounds are below value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(_CELLS.bit_length() - 1))])
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.element_at(bounds, n + s) < F.col(value), n + s).otherwise(n))
+
+
 def buffered(df: DataFrame, threshold: Column, time: str, instance: Sequence[str] = ()) -> DataFrame:
-    """Each row with ``_out``, the batch in which the clock reaches its threshold; at the end of input what is left comes out with null."""
+    """Each row with ``_out``, the batch in which the clock reaches its threshold; at the end of input what is left comes out with null.
+
+    No row meets the batches one by one. The clock never falls, so a row comes
+    out in its own batch or, if that is later, in the first one whose clock
+    reaches the threshold. That one is looked up once per threshold: thresholds
+    and clocks are cut into cells by quantiles and sorted within, and each cell
+    gets the first batch of the cells above it.
+    """
     clock = df.groupBy(*instance, TIME).agg(F.max(time).alias("_m"))
     w = Window.partitionBy(*instance).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
-    clock = clock.withColumn("_m", F.max("_m").over(w)).select(*[F.col(c).alias(f"_i_{c}") for c in instance], F.col(TIME).alias("_ct"), "_m")
-    d = df.withColumn("_thr", threshold).withColumn("_row", F.monotonically_increasing_id())
-    cond = (F.col("_ct") >= F.col(TIME)) & (F.col("_m") >= F.col("_thr"))
+    clock = clock.withColumn("_m", F.max("_m").over(w)).where(F.col(TIME).isNotNull() & F.col("_m").isNotNull())
+    d = df.withColumn("_v", threshold)
+    wanted = d.select(*instance, "_v", F.lit(None).cast(df.schema[TIME].dataType).alias("_ct")).where("_v is not null")
+    points = wanted.unionByName(clock.select(*instance, F.col("_m").alias("_v"), F.col(TIME).alias("_ct")))
+    points = points.groupBy(*instance, "_v").agg(F.min("_ct").alias("_ct"))
+    bounds = wanted.agg(F.percentile_approx("_v", [k / _CELLS for k in range(1, _CELLS)]).alias("_b"))
+    cells = points.crossJoin(F.broadcast(bounds)).withColumn("_ck", F.struct(*instance, _cell("_v", "_b").alias("_cell"))).drop("_b")
+    above = Window.partitionBy(*[f"_ck.{c}" for c in instance]).orderBy(F.desc("_ck._cell")).rowsBetween(Window.unboundedPreceding, -1)
+    later = cells.groupBy("_ck").agg(F.min("_ct").alias("_l")).select("_ck", F.min("_l").over(above).alias("_later"))
+    inside = Window.partitionBy("_ck").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    found = cells.join(later, "_ck").select(*[F.col(c).alias(f"_i_{c}") for c in instance], F.col("_v").alias("_fv"), F.coalesce(F.min("_ct").over(inside), "_later").alias("_first"))
+    cond = F.col("_v").cast(points.schema["_v"].dataType) == F.col("_fv")
     for c in instance:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_i_{c}"))
-    # the clock never falls, so the first batch that qualifies is a minimum
-    return d.join(clock, cond, "left").groupBy("_row", *df.columns).agg(F.min("_ct").alias("_out")).drop("_row")
+    out = F.when(F.col(TIME).isNotNull() & F.col("_first").isNotNull(), F.greatest(TIME, "_first"))
+    return d.join(found, cond, "left").select(*df.columns, out.alias("_out"))
 
 
 def forgotten(df: DataFrame, threshold: Column, time: str, instance: Sequence[str] = ()) -> DataFrame:

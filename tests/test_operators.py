@@ -248,3 +248,53 @@ def test_deduplicate_keeps_null_keys_apart(spark):
     df = spark.createDataFrame([(None, 1, 1), ("∅", 5, 2), (None, 4, 3), ("∅", 2, 4), ("None", 3, 5)], "k string, v int, t int")
     got = deduplicate(df, ["k"], "v", ["t"], lambda new, old: new > old).collect()
     assert sorted((str(r["k"]) + "!" * (r["k"] is None), r["v"]) for r in got) == [("None", 3), ("None!", 4), ("∅", 5)]
+
+
+def _most_rows(df) -> int:
+    """The most rows that any step of the plan put out when df was collected."""
+
+    def steps(p):
+        kind = p.getClass().getSimpleName()
+        inner = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else []
+        children = p.children()
+        for x in [*inner, *(children.apply(i) for i in range(children.size()))]:
+            yield from steps(x)
+        m = p.metrics().get("numOutputRows")
+        if m.isDefined():
+            yield m.get().value()
+
+    return max(steps(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize("instance", [[], ["i"]])
+def test_buffered_rows_by_brute_force(spark, instance):
+    """Rows come out as if every batch were looked at, null instances, times and batches and repeated rows included, without meeting the batches one by one."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(n, rng.choice([None, 1, 2]), rng.choice([None, *range(0, 60000, 7)]), rng.choice([None, *range(400)])) for n in range(3000)]
+    rows = [(n, i, t if t is None or b is None else t // 4 + 100 * b, b) for n, i, t, b in rows]
+    rows += rows[:20]
+    group = lambda i: i if instance else 0
+    top, now = {}, {}
+    for _, i, t, b in rows:
+        if t is not None:
+            top[group(i), -1 if b is None else b] = max(t, top.get((group(i), -1 if b is None else b), t))
+    for g in {g for g, _ in top}:
+        m = None
+        for b in range(-1, 400):
+            m = max((x for x in (m, top.get((g, b))) if x is not None), default=None)
+            now[g, b] = m
+    held = {(group(i), b) for _, i, _, b in rows}
+
+    def first(i, t, b):
+        ok = lambda c: (group(i), c) in held and now[group(i), c] is not None and now[group(i), c] >= t + 900
+        return None if t is None or b is None else next((c for c in range(b, 400) if ok(c)), None)
+
+    known = lambda x: -1 if x is None else x
+    want = sorted((n, known(first(i, t, b))) for n, i, t, b in rows)
+    df = spark.createDataFrame(rows, "n int, i int, t bigint, _time int")
+    out = C.buffered(df, F.col("t") + 900, "t", instance)
+    got = sorted((r["n"], known(r["_out"])) for r in out.collect())
+    assert got == want and len({b for _, b in want}) > 100
+    assert _most_rows(out) <= 4 * len(rows)
