@@ -31,19 +31,25 @@ def _edges(df: DataFrame, i: str, t: str, features: Callable[[Column], Column])
     return df.select(F.col(i).alias("n"), F.explode(features(F.col(t))).alias("f")).groupBy("n", "f").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
+def _joined(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """a and b joined by sorting. Their rows are features, far more than the files they come from let the optimizer expect, so neither may pass through the driver as a broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _scored(a: DataFrame, b: DataFrame, occurring: DataFrame, normalization: str, heavy: int, within: bool = False) -> DataFrame:
     """l, r, s: pairs that share a light feature, with the weight of all features they share. within: a and b are one table, no row meets itself."""
     cnt = occurring.groupBy("f").agg(F.count(F.lit(1)).alias("cnt")).select("f", "cnt", weight(F.col("cnt"), normalization).alias("fw"))
-    la = a.join(cnt, "f").select(F.col("n").alias("l"), "f", "w", "cnt", "fw")
-    rb = b.join(cnt, "f").select(F.col("n").alias("r"), "f", F.col("w").alias("v"), "cnt")
-    light = la.where(F.col("cnt") < heavy).join(rb.where(F.col("cnt") < heavy).select("r", "f", "v"), "f")
+    la = _joined(a, cnt, "f").select(F.col("n").alias("l"), "f", "w", "cnt", "fw")
+    rb = _joined(b, cnt, "f").select(F.col("n").alias("r"), "f", F.col("w").alias("v"), "cnt")
+    light = _joined(la.where(F.col("cnt") < heavy), rb.where(F.col("cnt") < heavy).select("r", "f", "v"), "f")
     if within:
         light = light.where("l <> r")
     pairs = light.groupBy("l", "r").agg(F.sum(F.col("w") * F.col("v") * F.col("fw")).alias("s"))
-    # frequent features: looked up by pair and feature, never multiplied out
-    more = pairs.select("l", "r").join(la.where(F.col("cnt") >= heavy), "l").join(rb.where(F.col("cnt") >= heavy).select("r", "f", "v"), ["r", "f"])
-    more = more.groupBy("l", "r").agg(F.sum(F.col("w") * F.col("v") * F.col("fw")).alias("h"))
-    return pairs.join(more, ["l", "r"], "left").select("l", "r", F.round(F.col("s") + F.coalesce("h", F.lit(0.0)), 9).alias("s"))
+    # frequent features: looked up by pair and feature, never multiplied out; left joins, so that pairs without any stay and are built once
+    more = _joined(pairs, la.where(F.col("cnt") >= heavy).drop("cnt"), "l", "left")
+    more = _joined(more, rb.where(F.col("cnt") >= heavy).select("r", "f", "v"), ["r", "f"], "left")
+    h = F.coalesce(F.sum(F.col("w") * F.col("v") * F.col("fw")), F.lit(0.0))
+    return more.groupBy("l", "r").agg(F.round(F.max("s") + h, 9).alias("s"))
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, features: Callable[[Column], Column] = tokenize, normalization: str = "logweight", heavy: int = 100, by_hand: DataFrame | None = None) -> DataFrame:

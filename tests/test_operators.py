@@ -16,6 +16,7 @@ from rillstone.operators import iterate as G
 from rillstone.operators import joins, reducers, table
 from rillstone.operators import temporal as W
 from rillstone.operators import udfs as U
+from rillstone.session import table as table_of
 from rillstone.sources import files as IO
 from rillstone.streaming import changes as C
 from rillstone.text import split as P
@@ -241,6 +242,20 @@ def test_fuzzy_matches_of_many_rows_by_brute_force(spark):
     assert got(Z.fuzzy_match(df(texts), df(other), "i", "t", "i", "t", features=Z.letters)) == best(m, lambda p: (m[p], -p[1], -p[0]))
 
 
+def test_fuzzy_matches_send_no_features_through_the_driver(spark, sf):
+    """Small files hold many features: no join of them is a broadcast, as planned from the files and as run."""
+    from rillstone.operators import fuzzy as Z
+
+    c = table_of(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("t"))
+    for out, count in ((Z.fuzzy_match(c, c, "i", "t", "i", "t"), c.count()), (Z.fuzzy_self_match(c, "i", "t"), None)):
+        plan = out._jdf.queryExecution().executedPlan()
+        assert "Broadcast" not in plan.toString()
+        rows = out.collect()
+        assert "Broadcast" not in plan.toString()
+        if count:
+            assert sorted((r["left_id"], r["right_id"]) for r in rows) == [(i, i) for i in range(count)]
+
+
 def test_deduplicate_keeps_null_keys_apart(spark):
     """A null instance is one of its own, whatever texts others have."""
     from rillstone.streaming.changes import deduplicate
